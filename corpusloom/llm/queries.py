@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import quality, sharding, tokenize
+from corpusloom.llm import neardup, quality, sharding, substrings, tokenize
 
 #: The one special token of the byte-level vocabulary.
 BYTE_SPECIAL = {"<|endoftext|>": 50256}
@@ -41,14 +41,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.pack_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), BYTE_SPECIAL, end=0, longest=1024)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), BYTE_SPECIAL, rule="first")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=50, batches=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
 }
