@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpusloom.llm import quality, tokenize
+from corpusloom.llm import neardup, quality, substrings, tokenize
 from corpusloom.llm.queries import BYTE_SPECIAL, vocabulary
 from corpusloom.runtime import materialise
 
@@ -17,12 +16,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_quality(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group of near copies (similarity 0.8 or more) the smallest doc_id stays."""
+    judged = neardup.near_duplicates(docs, percent=80)
+    gone = judged.filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: words in 50-word windows that begin in an earlier document go; so do texts without words left."""
+    return substrings.deduplicate(docs.select(*COLUMNS), size=50, batches=2)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of every document, with their ids."""
     return tokenize.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), BYTE_SPECIAL, end=0, longest=1024)
 
 
-STAGES = [("quality_rules", keep_quality), ("packing", pack_sequences)]
+STAGES = [("quality_rules", keep_quality), ("near_dedup", drop_near_duplicates), ("substring_dedup", remove_repeats), ("packing", pack_sequences)]
 
 #: Tokens are outside of SQL; the stages are tested against brute force.
 ORACLE_SQL = None

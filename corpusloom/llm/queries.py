@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprints, lattice, neardup, quality, sharding, substrings, tokenize
+from corpusloom.llm import chat, fingerprints, lattice, neardup, quality, sharding, substrings, tokenize
 
 #: The one special token of the byte-level vocabulary.
 BYTE_SPECIAL = {"<|endoftext|>": 50256}
@@ -37,6 +37,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.pack_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), BYTE_SPECIAL, end=0, longest=1024)
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
