@@ -1,5 +1,328 @@
-"""The queries for the base operators."""
+"""One query for each base operator, over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import conversations, payloads, text, urls
+from corpusloom.functions import html as html_functions
+from corpusloom.operators import audit, chatting, crawl, dedupe, generation, sampling, training
+from corpusloom.plans import fixtures
+from corpusloom.plans.fixtures import table
+
+#: Hosts that the domain query allows.
+DOMAINS = ("spam-farm.example.org", "ththre.example.com", "therha.example.com")
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+# URLs
+
+
+@query
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("normalized"))
+
+
+@query
+def url_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.skipped(F.col("url")).alias("skipped"))
+
+
+@query
+def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.netloc(F.col("url")).alias("netloc"), urls.same_domain(F.col("url"), DOMAINS).alias("same_domain"))
+
+
+@query
+def url_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.slug(F.col("url")).alias("slug"))
+
+
+# pages
+
+
+@query
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.extract(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = crawl.extract(table(spark, sf_dir, "pages")).filter(F.length("text") >= crawl.MIN_CHARS)
+    return kept.select("page_id", F.length("text").cast("long").alias("n_chars"), F.size("lines").cast("long").alias("n_lines"), "text")
+
+
+@query
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = crawl.extract(table(spark, sf_dir, "pages")).select("page_id", F.posexplode("lines").alias("line_no", "line"))
+    return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With navigation kept, since all links of these pages are in it."""
+    noise = [s for s in html_functions.NOISE if s != "nav"]
+    found = crawl.links(crawl.extract(table(spark, sf_dir, "pages"), noise), None, key="page_id")
+    return found.select("page_id", "link", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.page_records(crawl.extract(table(spark, sf_dir, "pages"))).select("url", "title", F.length("content").cast("long").alias("n_chars"), "text_file")
+
+
+@query
+def crawl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses made from pages: every fifth failed, seventh not found, ninth no HTML."""
+    p = F.col("page_id")
+    made = crawl.extract(table(spark, sf_dir, "pages")).select(
+        "page_id",
+        F.when(p % 5 == 4, F.lit("timeout")).alias("error"),
+        F.when(p % 7 == 6, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.when(p % 9 == 8, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        "text",
+    )
+    return crawl.skip_reason(made).select("page_id", "skip_reason")
+
+
+@query
+def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([(0, 0), (7, 1)], "node long, rank long")
+    found = crawl.breadth_first(seeds, fixtures.edges(spark, sf_dir), most=crawl.MAX_PAGES, levels=6)
+    return found.select(F.col("node").alias("page_id"), F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
+
+
+# text
+
+
+@query
+def doc_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.simplify(F.col("text")).alias("simple"))
+
+
+@query
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join("t", " ").alias("tokens"))
+
+
+@query
+def doc_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("n_words"))
+
+
+@query
+def doc_line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", text.clean_lines(F.col("text")).alias("l"))
+    return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.array_join("l", "\n").alias("text"))
+
+
+@query
+def overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns against the document with the conversation's number."""
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), text.tokens(text.simplify(F.col("text"))).alias("source"))
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return said.join(source, "conv_id").select("conv_id", "turn", text.overlap(text.tokens(F.col("text")), F.col("source")).cast("long").alias("score"))
+
+
+@query
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_score(spark, sf_dir).filter("score >= 2").select("conv_id", "turn")
+
+
+# conversations
+
+
+def _with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), text.tokens(text.simplify(F.col("text"))).alias("source"))
+    return fixtures.samples(spark, sf_dir).join(source, "conv_id", "left").withColumn("source", F.coalesce("source", F.array().cast("array<string>")))
+
+
+@query
+def conv_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_source(spark, sf_dir).select("conv_id", conversations.reject_reason(F.col("messages"), F.col("source")).alias("reason"))
+
+
+@query
+def conv_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_reject_reasons(spark, sf_dir).select("conv_id", F.col("reason").isNull().alias("valid"))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    kept = rows.filter("m is not null").select("conv_id", F.posexplode("m").alias("k", "x"))
+    return kept.select("conv_id", F.col("k").cast("long").alias("k"), "x.role", "x.content")
+
+
+@query
+def conv_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(fixtures.samples(spark, sf_dir).select("conv_id", conversations.structural(F.col("messages")).alias("m")))
+
+
+@query
+def conv_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(fixtures.samples(spark, sf_dir).select("conv_id", conversations.loose(F.col("messages")).alias("m")))
+
+
+@query
+def question_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = conversations.question_key(F.col("messages"), collapsed=True)
+    return dedupe.first_wins(fixtures.pair_samples(spark, sf_dir), key, F.col("doc_id"), F.col("k")).select("doc_id", "k")
+
+
+@query
+def question_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of odd documents whose question no even document has, first wins."""
+    rows = fixtures.pair_samples(spark, sf_dir)
+    key = conversations.question_key(F.col("messages"), collapsed=False)
+    seen = generation.seen_questions(rows.filter("doc_id % 2 = 0"))
+    return dedupe.first_wins(dedupe.not_seen(rows.filter("doc_id % 2 = 1"), key, seen, "question"), key, F.col("doc_id"), F.col("k")).select("doc_id", "k")
+
+
+@query
+def conversation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.dedupe_conversations(fixtures.pair_samples(spark, sf_dir), "doc_id", "k").select("doc_id", "k")
+
+
+# mixing and splitting
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    website = training.dedupe_conversations(fixtures.pair_samples(spark, sf_dir), "doc_id", "k").select(F.format_string("w%d-%d", "doc_id", "k").alias("key"), "messages")
+    chat = training.dedupe_conversations(fixtures.samples(spark, sf_dir), "conv_id").select(F.format_string("c%d", "conv_id").alias("key"), "messages")
+    return website, chat
+
+
+@query
+def mix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    website, chat = _sides(spark, sf_dir)
+    counts = website.agg(F.count("*").alias("website")).join(chat.agg(F.count("*").alias("chat")))
+    target = F.least(F.greatest(F.lit(1.0), F.bround(F.col("website") * F.lit(sampling.CHAT_WEIGHT) / F.lit(sampling.WEBSITE_WEIGHT))), F.col("chat")).cast("long")
+    return counts.withColumn("sampled", target)
+
+
+@query
+def mix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    website, chat = _sides(spark, sf_dir)
+    return training.mix(website, chat, "key").select("key", "place")
+
+
+@query
+def train_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.samples(spark, sf_dir).select("conv_id", training.chat_text(F.col("messages")).alias("text"))
+
+
+@query
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split_exact(fixtures.samples(spark, sf_dir).select("conv_id"), "conv_id").select("conv_id", "split")
+
+
+# audit
+
+
+@query
+def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audited = audit.audit(fixtures.pairs(spark, sf_dir), ["doc_id", "k"])
+    each = audited.select("doc_id", "k", "duplicate", F.posexplode("issues").alias("at", "x"))
+    return each.select("doc_id", "k", "duplicate", F.col("at").cast("long").alias("issue_no"), "x.issue", "x.fix")
+
+
+@query
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.summary(audit.audit(fixtures.pairs(spark, sf_dir), ["doc_id", "k"]))
+
+
+# generation
+
+
+@query
+def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixtures.payloads(spark, sf_dir).select("conv_id", payloads.salvage(F.col("response")).alias("found"))
+    return found.select("conv_id", "found", payloads.strict_json(F.col("found")).isNotNull().alias("valid"))
+
+
+@query
+def json_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and their messages; the bare lists of two objects are salvaged as what isn't JSON, so they give none."""
+    rows = fixtures.payloads(spark, sf_dir).select(F.col("conv_id").alias("page"), F.lit(1).alias("attempt"), "response")
+    each = generation.items_of(rows).select("page", "item", F.posexplode("messages").alias("k", "m"))
+    return each.select(F.col("page").alias("conv_id"), F.col("item").cast("long").alias("item"), F.col("k").cast("long").alias("k"), "m.role", "m.content")
+
+
+@query
+def prompt_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id")).alias("page"), F.col("text").alias("content"))
+    return generation.primary_prompts(pages)
+
+
+@query
+def prompt_banlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id")).alias("page"), F.col("text").alias("content"))
+    return generation.additional_prompts(pages, generation.seen_questions(fixtures.pair_samples(spark, sf_dir)))
+
+
+@query
+def first_valid_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as attempts: the first with an odd number of code points is the first valid one."""
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("turn", "attempt")
+    return generation.first_valid(rows, F.length("text") % 2 == 1, "conv_id").select("conv_id", "attempt")
+
+
+@query
+def prepare_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of preparation: salvage, parse, unwrap, strict validation with relaxed limits, first question wins."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), F.col("text").alias("content"))
+    responses = fixtures.payloads(spark, sf_dir).select(F.col("conv_id").cast("string").alias("page"), F.lit(1).alias("attempt"), "response")
+    return generation.prepare(pages, responses, most=400, shared=1).select("page", F.col("item").cast("long").alias("item"))
+
+
+@query
+def augment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = fixtures.payloads(spark, sf_dir).select(F.col("conv_id").cast("string").alias("page"), F.lit(1).alias("attempt"), "response")
+    return generation.augment(responses, generation.seen_questions(fixtures.samples(spark, sf_dir).filter("conv_id % 8 = 0"))).select("page", F.col("item").cast("long").alias("item"))
+
+
+# artifacts
+
+
+@query
+def checkpoint_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["0000200_adapters.safetensors", "0000400_adapters.safetensors", "adapters.safetensors", "0000600_adapters.npz", "config.json"]
+    return training.latest_checkpoint(spark.createDataFrame([(n,) for n in names], "name string"))
+
+
+# chat
+
+
+@query
+def chat_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatting.accumulate(fixtures.chunks(spark, sf_dir))
+
+
+@query
+def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chatting.contexts(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", F.array_join(F.transform("context", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("context"))
+
+
+@query
+def chat_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return chatting.compare(prompts, ["tuned", "base"])
+
+
+@query
+def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as inputs; turn 2 of every third conversation is ' Clear ', turn 5 of every fifth 'EXIT'."""
+    c, t = F.col("conv_id"), F.col("turn")
+    said = F.when((c % 3 == 0) & (t == 2), F.lit(" Clear ")).when((c % 5 == 0) & (t == 5), F.lit("EXIT")).when((c % 4 == 0) & (t == 1), F.lit(" \t ")).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
+    return chatting.sessions(rows, "conv_id", "turn", "said")
