@@ -38,13 +38,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def gapless(rows: DataFrame, group: str, bucket_key: Column, order: list[Column], count: str, out: str, buckets: int = 1024) -> DataFrame:
     """Adds `out`: for each row the sum of `count` over the rows before it in `group`.
 
-    The order inside a group is (bucket of bucket_key, order). A group is never
+    The order inside a group is (bucket of bucket_key, order); a bucket is the first 12 bits of the key's MD5, modulo `buckets`. A group is never
     sorted in one task: its rows are dealt to `buckets` buckets, each bucket is
     numbered on its own, and the offsets of the buckets come from a table of
     (groups x buckets) sums. `rows` is read twice, so it should be cheap or
     materialised. The number of groups must be small and fixed (shards, classes).
     """
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(bucket_key), F.lit(buckets)).cast("int"))
+    dealt = rows.withColumn("_bucket", F.conv(F.substring(F.md5(bucket_key.cast("binary")), 1, 3), 16, 10).cast("int") % buckets)
     sums = dealt.groupBy(group, "_bucket").agg(F.sum(count).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
