@@ -53,8 +53,51 @@ scores AS (
   SELECT DISTINCT key, s, ('0x' || substr(md5(key || '|' || s), 1, 13))::BIGINT AS u FROM summed, range(25) r(s)),
 best AS (
   SELECT key, arg_max(s, u * 100 - s) FILTER (s < 24) AS shard, arg_max(s, u * 100 - s) AS grown FROM scores GROUP BY key)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key), 1, 3))::INT % 1024, doc_id, size, text_crc32) - 1 AS slot
 FROM summed JOIN best USING (key)
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": QUALITY}
+CHAT = """
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, length(replace(replace(replace(text, '\\', '\\\\'), '#', '\\#'), '<', '\\<')) + length(role) + length('### : ') + length(' </turn>') + 1 AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+#: Lower case of A-Z only, as the contract has it.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR = f"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS head FROM documents UNION SELECT l.b, r.head FROM reach r JOIN links l ON l.a = r.node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node AS doc_id, min(head) AS component_id FROM reach GROUP BY node) c USING (doc_id)
+"""
+
+REPEATS = """
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM split WHERE len(w) >= 50)),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS least FROM places) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM repeated),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text FROM (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM split) ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_sharding": SHARDING, "op4_chat_format": CHAT, "op6_near_duplicates": NEAR, "op8_substring_dedup": REPEATS}

@@ -52,6 +52,6 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     placed = assign(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n")), F.col("doc_id"), weights, 1.0)
-    first = gapless(placed, "shard", F.col("doc_id"), [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "_n", "_first")
+    first = gapless(placed, "shard", F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")), [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "_n", "_first")
     spread = first.withColumn("slot", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)))
     return spread.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
