@@ -22,10 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import map_rows, schema_of
+from corpusloom.llm.prefilter import apart, only_possible
 from corpusloom.llm.words import _STEP, grams, hash_words, mix, text_chunks
 from corpusloom.runtime import materialise
 
@@ -189,11 +190,13 @@ class FingerprintIndex:
         joined = grouped.join(known, "a", "left")
         joined = materialise(joined.filter("old is not null or low < high"), "shared")
         hits = posts.join(joined.select("a"), "a").groupBy("doc_id").agg(F.collect_list("a").alias("hits")).withColumn("fresh", F.lit(True))
+        hits = materialise(hits, "hits")
         texts = batch.select(F.col("doc_id").cast("long"), "text")
-        due = texts.join(hits, "doc_id")
+        due = only_possible(texts, "doc_id", hits, "doc_id").join(hits, "doc_id")
         if history is not None:
             lone = joined.filter("old is not null and not shared").groupBy(F.col("old").alias("doc_id")).agg(F.collect_list("a").alias("hits")).withColumn("fresh", F.lit(False))
-            due = due.unionByName(history.select(F.col("doc_id").cast("long"), "text").join(lone, "doc_id"))
+            lone = materialise(lone, "lone")
+            due = due.unionByName(only_possible(history.select(F.col("doc_id").cast("long"), "text"), "doc_id", lone, "doc_id").join(lone, "doc_id"))
         due = materialise(due, "due")
         found = materialise(window_rows(due, size), "windows")
         lows = found.select("h", "g", "doc_id")
@@ -280,9 +283,17 @@ def deduplicate(docs: DataFrame, size: int = 50, batches: int = 2) -> DataFrame:
         partly = map_rows(part.filter("whole is null and starts is not null").select("doc_id", "digest", "text", "starts"), cut, "doc_id long, digest string, _gone boolean, _text string")
         both = whole.unionAll(partly)
         changes = both if changes is None else changes.unionAll(both)
-    changes = changes.select(F.col("doc_id").alias("_id"), "digest", "_gone", "_text").dropDuplicates(["_id", "digest"])
-    joined = docs.join(changes, docs.doc_id == changes._id, "left").filter("_gone is null or not _gone")
+    changes = materialise(changes.select(F.col("doc_id").alias("_id"), "digest", "_gone", "_text").dropDuplicates(["_id", "digest"]), "changes")
+    maybe, never = apart(docs, "doc_id", changes, "_id")
+    # of rows that repeat a doc_id with other texts, each meets the change of its own text
+    joined = maybe.withColumn("_digest", _digest(F.col("text"))).join(changes, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("digest")), "left").filter("_gone is null or not _gone")
     joined = joined.withColumn("text", F.coalesce("_text", "text"))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*columns)
+    return joined.select(*columns).unionByName(never.select(*columns))
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text's words joined by single spaces, as sketch() has it."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.sha2(F.array_join(words, " "), 256)
