@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import neardup, quality, substrings, tokenize
+from corpusloom.llm.prefilter import apart
 from corpusloom.llm.queries import BYTE_SPECIAL, vocabulary
 from corpusloom.runtime import materialise
 
@@ -19,8 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each group of near copies (similarity 0.8 or more) the smallest doc_id stays."""
     judged = neardup.near_duplicates(docs, percent=80)
-    gone = judged.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = materialise(judged.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    maybe, never = apart(docs.select(*COLUMNS), "doc_id", gone, "doc_id")
+    return maybe.join(gone, "doc_id", "left_anti").select(*COLUMNS).unionByName(never)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
