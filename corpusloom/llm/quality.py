@@ -81,7 +81,7 @@ def measures(docs: DataFrame, text: str = "text", stop_words: str = STOP_WORDS)
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": _repeated(F.col("_words")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
-            "n_echo_words": F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1))).cast("long"),
+            "n_echo_words": _let(F.col("_words"), lambda words: F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))).cast("long"),
             "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop_words.split()))).cast("long"),
         }
     ).drop("_words", "_lines")
@@ -119,3 +119,14 @@ def score_quality(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, s
     passed, names = verdict(rules)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measures(docs, text).withColumn("base_failed", base).withColumns({"kept": ~F.col("base_failed") & passed, "rejected_by": names})
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, str, str, float], ...] = RULES) -> DataFrame:
+    """The rows of docs that score_quality() keeps, with their own columns.
+
+    A plain filter on `kept` would be pushed below the projections, and all that
+    the verdict is made of computed again in it; the partition's number, which may not be
+    moved, holds the filter above them.
+    """
+    scored = score_quality(docs, text, rules).withColumn("_at", F.spark_partition_id())
+    return scored.filter("kept and _at >= 0").select(*docs.columns)
