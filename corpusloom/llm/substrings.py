@@ -12,6 +12,9 @@ whole texts. A new batch is merge-joined with the runs; an anchor that until
 then stood in one document only makes that document's windows due, which are
 then read from its text. Afterwards the batch's own entries are written as
 new runs; FAN runs of a kind are compacted into one.
+
+A doc_id may repeat, also with other texts. So what is found in a text is kept by
+(doc_id, t), t being a 64-bit hash of the whole text, and goes to that text's rows only.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import map_rows, schema_of
@@ -70,14 +73,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 yield batch, at + k, data[low : bounds[k + 1]].tobytes(), hashes[a:b], starts[a:b] - low, ends[a:b] - low
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, t."""
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_words, digest (SHA-256 of the words joined by spaces), anchors (distinct)."""
+    """doc_id, t, n_words, digest (SHA-256 of the words joined by spaces), anchors (distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch, row, data, hashes, _, _ in _texts(batches):
             found = np.unique(anchors(hashes, size)).view(np.int64)
-            held.append((batch.column("doc_id")[row].as_py(), len(hashes), hashlib.sha256(b" ".join(data.split())).hexdigest(), found))
+            held.append((batch.column("doc_id")[row].as_py(), batch.column("t")[row].as_py(), len(hashes), hashlib.sha256(b" ".join(data.split())).hexdigest(), found))
             if len(held) >= 2000:
                 yield rows(held)
                 held = []
@@ -85,16 +93,16 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             yield rows(held)
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
-        ids, n, digests, found = zip(*held, strict=True)
+        ids, t, n, digests, found = zip(*held, strict=True)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests), lists], ["doc_id", "n_words", "digest", "anchors"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(digests), lists], ["doc_id", "t", "n_words", "digest", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema_of("doc_id long, n_words long, digest string, anchors array<long>"))
+    return keyed(docs).mapInArrow(run, schema_of("doc_id long, t long, n_words long, digest string, anchors array<long>"))
 
 
 def window_rows(texts: DataFrame, size: int) -> DataFrame:
-    """h, g, doc_id, fresh, start of each window whose anchor is in the row's `hits`; texts: doc_id, text, fresh, hits."""
+    """h, g, doc_id, t, fresh, start of each window whose anchor is in the row's `hits`; texts: doc_id, text, t, fresh, hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, _, hashes, _, _ in _texts(batches):
@@ -107,11 +115,11 @@ def window_rows(texts: DataFrame, size: int) -> DataFrame:
             h, g = windows(hashes, size)
             n = len(due)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[due].view(np.int64)), pa.array(g[due]), pa.array(np.full(n, batch.column("doc_id")[row].as_py(), np.int64)), pa.array(np.full(n, batch.column("fresh")[row].as_py(), bool)), pa.array(due.astype(np.int32))],
-                ["h", "g", "doc_id", "fresh", "start"],
+                [pa.array(h[due].view(np.int64)), pa.array(g[due]), pa.array(np.full(n, batch.column("doc_id")[row].as_py(), np.int64)), pa.array(np.full(n, batch.column("t")[row].as_py(), np.int64)), pa.array(np.full(n, batch.column("fresh")[row].as_py(), bool)), pa.array(due.astype(np.int32))],
+                ["h", "g", "doc_id", "t", "fresh", "start"],
             )
 
-    return texts.select("doc_id", "text", "fresh", "hits").mapInArrow(run, schema_of("h long, g int, doc_id long, fresh boolean, start int"))
+    return texts.select("doc_id", "text", "t", "fresh", "hits").mapInArrow(run, schema_of("h long, g int, doc_id long, t long, fresh boolean, start int"))
 
 
 def cover(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -143,6 +151,8 @@ class FingerprintIndex:
     spark: SparkSession
     size: int = 50
     runs: dict[str, list[DataFrame]] = field(default_factory=lambda: {k: [] for k in RUNS})
+    #: Tables of doc_id, t and anchors, one of each batch.
+    sketches: list[DataFrame] = field(default_factory=list)
 
     def all(self, kind: str) -> DataFrame:
         """The rows of all runs of a kind, with the smallest document of each key."""
@@ -168,11 +178,11 @@ class FingerprintIndex:
             self.runs[kind] = [materialise(self.all(kind).repartition(key).sortWithinPartitions(key), f"run-{kind}")]
 
     def judge(self, batch: DataFrame, history: DataFrame | None, last: bool = False) -> DataFrame:
-        """doc_id, text, n_words, digest, starts for the documents of a batch (doc_id, text).
+        """doc_id, t, n_words, digest, whole, text, starts for every row of a batch (doc_id, text).
 
         starts: places of windows that also begin in a document with a smaller
-        doc_id, in history or in the batch; null where there is none. text is null where nothing
-        is to be removed. history: the documents of earlier batches. With
+        doc_id, in history or in the batch; null where there is none. whole: the whole text is
+        a copy. text is there only with starts, n_words and digest only without. history: the documents of earlier batches. With
         last=True nothing is added to the index.
         """
         size = self.size
@@ -183,35 +193,43 @@ class FingerprintIndex:
         if self.runs["texts"]:
             old = self.all("texts").withColumnRenamed("doc_id", "old")
             firsts = firsts.join(old, "digest", "left").select("digest", F.least("least", "old").alias("least"))
-        active = ids.join(firsts, "digest").filter("doc_id = least").select("doc_id", "anchors")
-        posts = active.select("doc_id", F.explode("anchors").alias("a"))
+        active = ids.join(firsts, "digest").filter("doc_id = least").select("doc_id", "t", "anchors")
+        posts = active.select("doc_id", "t", F.explode("anchors").alias("a"))
         grouped = posts.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         known = self.all("anchors").select("a", F.col("doc_id").alias("old"), "shared")
         joined = grouped.join(known, "a", "left")
         joined = materialise(joined.filter("old is not null or low < high"), "shared")
-        hits = posts.join(joined.select("a"), "a").groupBy("doc_id").agg(F.collect_list("a").alias("hits")).withColumn("fresh", F.lit(True))
+        hits = posts.join(joined.select("a"), "a").groupBy("doc_id", "t").agg(F.collect_set("a").alias("hits")).withColumn("fresh", F.lit(True))
         hits = materialise(hits, "hits")
-        texts = batch.select(F.col("doc_id").cast("long"), "text")
-        due = only_possible(texts, "doc_id", hits, "doc_id").join(hits, "doc_id")
+        due = only_possible(keyed(batch), "doc_id", hits, "doc_id").join(hits, ["doc_id", "t"])
         if history is not None:
-            lone = joined.filter("old is not null and not shared").groupBy(F.col("old").alias("doc_id")).agg(F.collect_list("a").alias("hits")).withColumn("fresh", F.lit(False))
+            single = joined.filter("old is not null and not shared").select(F.col("old").alias("doc_id"), "a")
+            past = self.sketches[0]
+            for more in self.sketches[1:]:
+                past = past.unionByName(more)
+            past = only_possible(past, "doc_id", single, "doc_id").select("doc_id", "t", F.explode("anchors").alias("a"))
+            lone = past.join(single, ["doc_id", "a"]).groupBy("doc_id", "t").agg(F.collect_set("a").alias("hits")).withColumn("fresh", F.lit(False))
             lone = materialise(lone, "lone")
-            due = due.unionByName(only_possible(history.select(F.col("doc_id").cast("long"), "text"), "doc_id", lone, "doc_id").join(lone, "doc_id"))
+            due = due.unionByName(only_possible(keyed(history), "doc_id", lone, "doc_id").join(lone, ["doc_id", "t"]))
         due = materialise(due, "due")
         found = materialise(window_rows(due, size), "windows")
         lows = found.select("h", "g", "doc_id")
         if self.runs["windows"]:
             lows = lows.unionByName(self.all("windows"))
         lows = lows.groupBy("h", "g").agg(F.min("doc_id").alias("least"))
-        flagged = found.filter("fresh").join(lows, ["h", "g"]).filter("least < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+        flagged = found.filter("fresh").join(lows, ["h", "g"]).filter("least < doc_id").groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts"))
+        flagged = materialise(flagged, "flagged")
         if not last:
             shared = F.coalesce(F.col("low") < F.col("high"), F.lit(False))
             self.append("anchors", grouped.join(known, "a", "left").select("a", F.least("low", "old").alias("doc_id"), (shared | F.col("old").isNotNull()).alias("shared")))
             self.append("windows", lows.select("h", "g", F.col("least").alias("doc_id")))
             self.append("texts", firsts.select("digest", F.col("least").alias("doc_id")))
-        partly = due.filter("fresh").join(flagged, "doc_id").select("doc_id", "text", "starts")
+            self.sketches.append(ids.select("doc_id", "t", "anchors"))
         whole = ids.join(firsts, "digest").filter("doc_id > least").select("doc_id", "digest").distinct().withColumn("whole", F.lit(True))
-        return sketches.select("doc_id", "n_words", "digest").join(whole, ["doc_id", "digest"], "left").join(partly, "doc_id", "left")
+        # a row of the batch is in one of the two, so rows with equal ids don't multiply
+        partly = due.filter("fresh").join(flagged, ["doc_id", "t"]).select("doc_id", "t", "text", "starts")
+        others = sketches.select("doc_id", "t", "n_words", "digest").join(flagged, ["doc_id", "t"], "left_anti").join(whole, ["doc_id", "digest"], "left")
+        return others.unionByName(partly, allowMissingColumns=True)
 
 
 def judged(docs: DataFrame, size: int, batches: int) -> Iterator[DataFrame]:
@@ -251,7 +269,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, batches: int = 2) -> DataFra
             else:
                 words = text.encode().split()
                 gone = cover(np.array(starts), len(words), size)
-                yield k, n, int(gone.sum()), hashlib.sha256(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])).hexdigest()
+                yield k, len(words), int(gone.sum()), hashlib.sha256(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])).hexdigest()
 
     out = None
     for part in judged(docs, size, batches):
@@ -269,31 +287,24 @@ def deduplicate(docs: DataFrame, size: int = 50, batches: int = 2) -> DataFrame:
     columns = docs.columns
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for k, digest, text, starts in rows:
-            data = text.encode()
+        for k, t, text, starts in rows:
             column = pa.array([text], pa.string())
             _, data_bytes, bounds = next(text_chunks(column))
             _, first, end, _ = hash_words(data_bytes, bounds, lower=False)
             gone = cover(np.array(starts), len(first), size)
-            yield k, digest, bool(gone.all()), cut_text(data, first, end, gone).decode()
+            yield k, t, bool(gone.all()), cut_text(text.encode(), first, end, gone).decode()
 
     changes = None
     for part in judged(docs, size, batches):
-        whole = part.filter("whole").select("doc_id", "digest", F.lit(True).alias("_gone"), F.lit("").alias("_text"))
-        partly = map_rows(part.filter("whole is null and starts is not null").select("doc_id", "digest", "text", "starts"), cut, "doc_id long, digest string, _gone boolean, _text string")
+        whole = part.filter("whole").select("doc_id", "t", F.lit(True).alias("_gone"), F.lit("").alias("_text"))
+        partly = map_rows(part.filter("starts is not null").select("doc_id", "t", "text", "starts"), cut, "doc_id long, t long, _gone boolean, _text string")
         both = whole.unionAll(partly)
         changes = both if changes is None else changes.unionAll(both)
-    changes = materialise(changes.select(F.col("doc_id").alias("_id"), "digest", "_gone", "_text").dropDuplicates(["_id", "digest"]), "changes")
+    changes = materialise(changes.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "_gone", "_text").dropDuplicates(["_id", "_t"]), "changes")
     maybe, never = apart(docs, "doc_id", changes, "_id")
     # of rows that repeat a doc_id with other texts, each meets the change of its own text
-    joined = maybe.withColumn("_digest", _digest(F.col("text"))).join(changes, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("digest")), "left").filter("_gone is null or not _gone")
+    joined = maybe.join(changes, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left").filter("_gone is null or not _gone")
     joined = joined.withColumn("text", F.coalesce("_text", "text"))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return joined.select(*columns).unionByName(never.select(*columns))
-
-
-def _digest(text: Column) -> Column:
-    """SHA-256 of a text's words joined by single spaces, as sketch() has it."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return F.sha2(F.array_join(words, " "), 256)

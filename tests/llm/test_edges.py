@@ -41,6 +41,23 @@ def test_null_rows_of_near_duplicates(nulls):
     assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (6, 0, 6, True), (6, 2, 6, True), (None, 0, None, True), (None, 2, 5, False)], key=str)
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_repeats_of_an_id_with_shared_passages(spark, batches):
+    import brute
+
+    passage = " ".join(f"p{k}" for k in range(20))
+    later = " ".join(f"q{k}" for k in range(20))
+    rows = [(0, f"begin {passage} end"), (1, f"first {later} text")]
+    long, short, spread = " ".join(f"c{k}" for k in range(60)) + f" {passage} tail", f"{passage} other words", f"{passage}\n\tother words"
+    rows += [(5, t) for t in (long, long, long, short, spread, spread, later, "x y z")] + [(9, f"{later} and {passage}")] * 2
+    # each row against the smaller ids alone, as if no other row had its id
+    expected = sorted((k, *brute.repeats({n: x for n, (i, x) in enumerate(rows) if i < k} | {99: t}, 10)[99]) for k, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in substrings.remove_repeats(docs, 10, batches).collect()) == expected
+    texts = sorted((r.doc_id, r.text) for r in substrings.deduplicate(docs, 10, batches).collect())
+    assert texts == sorted([rows[0], rows[1], *[(5, long.replace(passage + " ", ""))] * 3, *[(5, "other words")] * 3, (5, "x y z"), *[(9, "and ")] * 2])
+
+
 def test_empty_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
