@@ -58,6 +58,16 @@ def test_repeats_of_an_id_with_shared_passages(spark, batches):
     assert texts == sorted([rows[0], rows[1], *[(5, long.replace(passage + " ", ""))] * 3, *[(5, "other words")] * 3, (5, "x y z"), *[(9, "and ")] * 2])
 
 
+def test_all_pairs_of_a_full_depth_region_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 4)
+    sig = neardup.signature(neardup.np.arange(50, dtype=neardup.np.uint64)).tobytes()
+    found = {}
+    for r in neardup.regions(spark.createDataFrame([(k, sig) for k in range(30)], "rep long, sig binary"), 3).collect():
+        found.setdefault(r.region, set()).add(r.rep)
+    met = {(a, b) for x in found.values() for a in x for b in x if a < b}
+    assert met == {(a, b) for b in range(30) for a in range(b)}
+
+
 def test_empty_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
