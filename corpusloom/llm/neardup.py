@@ -54,7 +54,7 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple
 
 
 def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, signature (both binary; null where the set is empty)."""
+    """doc_id, t (a hash of the text), n_shingles, digest of the shingle set, signature (both binary; null where the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, bytes] = {}  # signatures of recent sets, for copies
@@ -68,7 +68,7 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
                     if len(seen) >= 4096:
                         seen.clear()
                     seen[digest] = made
-            held.append((batch.column("doc_id")[row].as_py(), len(found), digest, made))
+            held.append((batch.column("doc_id")[row].as_py(), batch.column("t")[row].as_py(), len(found), digest, made))
             if len(held) >= 4096:
                 yield rows(held)
                 held = []
@@ -77,9 +77,9 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], ["doc_id", "t", "n_shingles", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema_of("doc_id long, n_shingles long, digest binary, sig binary"))
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema_of("doc_id long, t long, n_shingles long, digest binary, sig binary"))
 
 
 def regions(classes: DataFrame, depth: int) -> DataFrame:
@@ -256,6 +256,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, depth: in
     signature test drops 1.8e-5 and 2.0e-5 of such pairs. A missed pair still
     shares a component when other links join it.
     """
+    return verdicts(docs, percent, size, depth).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def verdicts(docs: DataFrame, percent: int, size: int = 5, depth: int = 3) -> DataFrame:
+    """near_duplicates() with t, xxhash64 of the row's text, and digest, that of its shingle set."""
     sketches = materialise(sketch(docs, size), "sketches")
     some = sketches.filter("n_shingles > 0 and doc_id is not null")
     least = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
@@ -266,6 +271,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, depth: in
     groups = materialise(connected_components(edges), "groups")
     links = connected_components(confirmed_edges(docs, groups, percent, size))
     heads = classes.join(links, classes.rep == links.node, "left").select("digest", F.coalesce("component", "rep").alias("head"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(heads, "digest", "left")
+    out = sketches.select("doc_id", "t", "n_shingles", "digest").join(heads, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("head", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "t", "digest", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -72,6 +72,14 @@ def test_empty_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_null_and_repeated_ids_in_the_pipelines_near_dedup(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a.upper()), (None, a), (2, a), (2, b), (None, c), (None, c), (None, d), (3, None), (3, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text and r.text.lower()) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (None, d), (3, None), (3, None)], key=str)
+
+
 def test_pipeline(spark, docs, rows):
     import brute
     from corpusloom.runtime import materialise
