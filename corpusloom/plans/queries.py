@@ -97,7 +97,7 @@ def crawl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(0, 0), (7, 1)], "node long, rank long")
-    found = crawl.breadth_first(seeds, fixtures.edges(spark, sf_dir), most=crawl.MAX_PAGES, levels=6)
+    found = crawl.breadth_first(seeds, fixtures.edges(spark, sf_dir), most=crawl.MAX_PAGES)
     return found.select(F.col("node").alias("page_id"), F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
 
 

@@ -128,3 +128,12 @@ def test_stream_accumulates_over_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("answers").collect()) == [(1, "abc"), (2, "x")]
     batch = spark.createDataFrame([r for p in parts for r in p], ddl)
     assert sorted(tuple(r) for r in chatting.accumulate(batch).collect()) == [(1, "abc"), (2, "x")]
+
+
+def test_crawl_order_walks_sparse_links_to_the_end(spark, sf_dir, monkeypatch):
+    from corpusloom.plans import fixtures, queries
+
+    chain = [(k, k + 1, 0) for k in range(7, 27)]
+    monkeypatch.setattr(fixtures, "edges", lambda *_: spark.createDataFrame(chain, "source long, target long, rank long"))
+    got = {r.page_id: r.level for r in queries.crawl_order(spark, sf_dir).collect()}
+    assert got == {0: 0} | {k: k - 7 for k in range(7, 28)}
