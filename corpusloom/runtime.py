@@ -5,36 +5,96 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Shuffle files go as soon as the query that made them has ended, not when the driver collects its garbage.
+_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir.
 
-    Only where that setting is absent (single-machine tests) a folder under the
-    local temporary directory is used and set as the checkpoint folder.
+    Only where that setting is absent and Spark runs in this one process (tests) a folder under the
+    local temporary directory is used and set as the checkpoint folder; a cluster without it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     Cuts the lineage, survives lost executors, and lets several consumers read
     one computation. The plan of the result is a plain scan.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or table_path(df.sparkSession, name)
+    with configured(df.sparkSession, _CLEAN):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of any file system that Spark writes to."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+
+
+class Scratch:
+    """Intermediate tables of one computation; they go together once its result is written.
+
+    with Scratch(spark) as scratch: ... scratch.keep(df, "name") ... result = materialise(...)
+    What leaves the block mustn't read its tables any more. After an error they stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = table_path(self.spark, name)
+        self.paths.append(path)
+        return materialise(df, name, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            for path in self.paths:
+                delete(self.spark, path)
+
+
 def gapless(rows: DataFrame, group: str, bucket_key: Column, order: list[Column], count: str, out: str, buckets: int = 1024) -> DataFrame:
     """Adds `out`: for each row the sum of `count` over the rows before it in `group`.
 
@@ -44,12 +104,14 @@ def gapless(rows: DataFrame, group: str, bucket_key: Column, order: list[Column]
     (groups x buckets) sums. `rows` is read twice, so it should be cheap or
     materialised. The number of groups must be small and fixed (shards, classes).
     """
-    dealt = rows.withColumn("_bucket", F.conv(F.substring(F.md5(bucket_key.cast("binary")), 1, 3), 16, 10).cast("int") % buckets)
-    sums = dealt.groupBy(group, "_bucket").agg(F.sum(count).alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = dealt.withColumn("_inside", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    # names of its own, so that columns of rows may have any
+    bucket, total, offset, inner, whose = (f"_{n}_{uuid.uuid4().hex[:12]}" for n in ("bucket", "sum", "offset", "inside", "group"))
+    dealt = rows.withColumn(bucket, F.conv(F.substring(F.md5(bucket_key.cast("binary")), 1, 3), 16, 10).cast("int") % buckets)
+    sums = dealt.groupBy(F.col(group).alias(whose), F.col(bucket).alias(total)).agg(F.sum(count).alias(inner))
+    before = Window.partitionBy(whose).orderBy(total).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(whose, total, F.coalesce(F.sum(inner).over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn(inner, F.coalesce(F.sum(count).over(inside), F.lit(0)))
     # groups x buckets rows at most, whatever the number of records: a proven bound for the broadcast
-    joined = numbered.join(F.broadcast(offsets), [group, "_bucket"])
-    return joined.withColumn(out, (F.col("_offset") + F.col("_inside")).cast("long")).drop("_bucket", "_inside", "_offset")
+    joined = numbered.join(F.broadcast(offsets), (F.col(group) == F.col(whose)) & (F.col(bucket) == F.col(total)))
+    return joined.withColumn(out, (F.col(offset) + F.col(inner)).cast("long")).drop(bucket, total, offset, inner, whose)
