@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the filter: 2 MB, however many ids there are.
+#: Bits of the filter, however many ids there are.
 BITS = 1 << 24
 
 
 def apart(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in ids, rows whose key isn't): together all rows.
 
-    Each id sets one of BITS bits; the bits are broadcast, and every row looks up
-    its own before any shuffle. By chance some keys that aren't in ids may seem to
+    Each id sets one of BITS bits; they are broadcast as a table of (word, 64
+    bits), of at most BITS / 64 = 262144 rows whatever the ids, and every row looks up
+    its own bit before any shuffle. By chance some keys that aren't in ids may seem to
     be, more with very many ids, but none is missed: the join that follows
-    decides. A null key may be in ids only if a null is. ids is read at once, so it should be materialised.
+    decides. A null key may be in ids only if a null is. The other columns of rows may have any
+    names. ids is read for each of the two results, so it should be materialised.
     """
-    place = ids.select(F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(BITS)).alias("p"))
-    words = place.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def those(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = batch.column(batch.num_columns - 1).to_numpy()
-                maybe = ((shared.value[p >> 6] >> (p & 63)) & 1).astype(bool)
-                kept = batch.filter(pa.array(maybe == wanted))
-                if kept.num_rows:
-                    yield kept.select(list(range(batch.num_columns - 1)))
-
-        return rows.withColumn("_p", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))).mapInArrow(run, rows.schema)
-
-    return those(True), those(False)
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
+
+    p, w, b = (f"_{n}_{uuid.uuid4().hex[:12]}" for n in "pwb")
+    words = ids.select(place(id_column).alias(p)).groupBy(F.expr(f"{p} div 64").alias(w)).agg(F.expr(f"bit_or(shiftleft(1L, cast({p} % 64 as int)))").alias(b))
+    looked = rows.withColumn(p, place(key)).join(F.broadcast(words), F.expr(f"{p} div 64 = {w}"), "left")
+    bit = F.coalesce(F.expr(f"bit_get({b}, cast({p} % 64 as int))"), F.lit(0))
+    return looked.filter(bit == 1).drop(p, w, b), looked.filter(bit == 0).drop(p, w, b)
 
 
 def only_possible(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:

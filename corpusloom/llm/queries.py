@@ -56,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=50, batches=2)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=50, batches=3, fan=2)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

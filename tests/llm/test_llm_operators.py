@@ -13,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, components, fingerprints, lattice, neardup, quality, sharding, substrings, tokenize
+from corpusloom import runtime
+from corpusloom.llm import bpe, chat, components, fingerprints, lattice, neardup, prefilter, quality, sharding, substrings, tokenize
 from corpusloom.llm.words import hash_words, text_chunks
 
 SPECIAL = {"<|endoftext|>": 50256}
@@ -321,7 +322,7 @@ def test_attribution(widths, sections, rule):
 # 8
 
 
-@pytest.mark.parametrize(("size", "batches"), [(50, 2), (12, 3), (5, 1), (3, 7)])
+@pytest.mark.parametrize(("size", "batches"), [(50, 1), (12, 3), (3, 2)])
 def test_substrings(docs, rows, size, batches):
     got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(docs, size, batches).collect()}
     assert got == brute.repeats(dict(rows), size)
@@ -339,15 +340,51 @@ def test_substring_texts(docs, rows):
             assert got[k].n_chars == len(got[k].text or "")
 
 
-def test_runs_are_compacted(spark, docs, monkeypatch):
-    monkeypatch.setattr(substrings, "FAN", 2)
-    index = substrings.FingerprintIndex(spark, 10)
-    past = None
-    for k in range(4):
-        part = docs.filter(F.col("doc_id") % 4 == k)
-        index.judge(part, past)
+def test_runs_are_merged_by_level_and_the_index_opened_again(spark, docs, rows):
+    index = substrings.FingerprintIndex(spark, 10, fan=2)
+    folder, past, got = index.folder, None, {}
+    parts = [docs.filter((F.col("doc_id") > 15 * k) & (F.col("doc_id") <= 15 * k + 15) if k else F.col("doc_id") <= 15) for k in range(4)]
+    for k, part in enumerate(parts):
         past = part if past is None else past.unionByName(part)
-        assert all(len(r) == 1 for r in index.runs.values())
+        index = substrings.FingerprintIndex.open(spark, folder) if k else index
+        with runtime.Scratch(spark) as scratch:
+            _, whole, proved = index.add(part, past, scratch)
+            got |= {r.doc_id: "whole" for r in whole.collect()} | {r.doc_id: r.proved for r in proved.collect()}
+        for kind, runs in index.levels.items():
+            assert [level for level, _ in runs] == [b for b in (2, 1, 0) if k + 1 >> b & 1]
+            for run in index.runs(kind):
+                with index.merging():
+                    plan = run.hint("merge").join(run, substrings.KEYS[kind])._jdf.queryExecution().executedPlan().toString()
+                    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, run.inputFiles()
+    texts = dict(rows)
+    expected = brute.repeats({k: t for k, t in rows if k <= 60}, 10)
+    for k, (n, gone, _) in expected.items():
+        words = (texts[k] or "").encode().split()
+        assert (n if got.get(k) == "whole" else int(substrings.cover(words, got.get(k, []), 10).sum())) == gone
+    index.drop()
+
+
+def test_crowded_anchors(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", 1)
+    monkeypatch.setattr(substrings, "AT_ONCE", 16)
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(docs, 12, 2).collect()}
+    assert got == brute.repeats(dict(rows), 12)
+
+
+def test_a_hash_that_two_windows_share_removes_nothing():
+    words = b"a b c d e f".split()
+    wrong = {"start": 0, "n": 2, "proof": hashlib.sha256(b"a b x y").digest()}
+    right = {"start": 2, "n": 1, "proof": substrings.proof([b"z", *words], 3, 1, 3)}
+    assert substrings.cover(words, [wrong, right], 3).tolist() == [False, False, True, True, True, False]
+
+
+def test_prefilter_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k if k % 7 else None, 1, 2, 3) for k in range(50)], "doc_id long, _p int, w int, b int")
+    ids = spark.createDataFrame([(k,) for k in range(10)], "i long")
+    maybe, never = prefilter.apart(rows, "doc_id", ids, "i")
+    assert maybe.columns == never.columns == rows.columns
+    assert {r.doc_id for r in maybe.collect()} == set(range(10)) - {0, 7} and never.count() == 42
+
 
 
 # 9
