@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: words in 50-word windows that begin in an earlier document go; so do texts without words left."""
-    return substrings.deduplicate(docs.select(*COLUMNS), size=50, batches=2)
+    return substrings.deduplicate(docs.select(*COLUMNS), size=50, batches=3, fan=2)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
