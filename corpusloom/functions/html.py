@@ -152,11 +152,12 @@ def resolve_one(base: str | None, href: str | None) -> str | None:
         return None
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """An href against its page's URL, cut at '#'; null where it can't be resolved."""
+def resolve(base: Column, hrefs: Column) -> Column:
+    """A page's hrefs against its URL, each once, cut at '#'; those that can't be resolved go."""
 
-    @F.pandas_udf("string")
-    def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-        return pd.Series([resolve_one(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
+    @F.pandas_udf("array<string>")
+    def run(bases: pd.Series, lists: pd.Series) -> pd.Series:
+        found = ([resolve_one(b, h) for h in hs] if hs is not None else [] for b, hs in zip(bases, lists, strict=True))
+        return pd.Series([[x for x in dict.fromkeys(f) if x is not None] for f in found], dtype=object)
 
-    return run(base, href)
+    return run(base, hrefs)

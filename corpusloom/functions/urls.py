@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,10 +42,7 @@ def netloc(url: Column) -> Column:
 
 def skipped(url: Column, patterns: Sequence[str] = SKIP_PATTERNS) -> Column:
     """True where a pattern stands anywhere in the URL, case-sensitive."""
-    out = F.lit(False)
-    for p in patterns:
-        out = out | F.contains(url, F.lit(p))
-    return out
+    return F.rlike(url, F.lit("|".join(map(re.escape, patterns)))) if patterns else F.lit(False)
 
 
 def same_domain(url: Column, domains: Sequence[str]) -> Column:

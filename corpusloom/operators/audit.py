@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import payloads
 from corpusloom.functions.text import words
 from corpusloom.operators.dedupe import flag_repeats
 
@@ -18,6 +19,7 @@ MAX_CHARS, MIN_CHARS, MIN_DISTINCT = 180, 2, 0.6
 def issues(answer: Column, phrases: Sequence[str] = PHRASES) -> Column:
     """array<struct<issue, fix>> in the order of the rules; no rule stops another."""
 
+    # names and remedies of the rules (fixed values)
     def one(issue: str, fix: str) -> Column:
         return F.struct(F.lit(issue).alias("issue"), F.lit(fix).alias("fix"))
 
@@ -50,6 +52,17 @@ def audit(rows: DataFrame, order: list[str], phrases: Sequence[str] = PHRASES) -
     return good.unionByName(bad)
 
 
+def positional(lines: DataFrame) -> DataFrame:
+    """lines (value: a variant, and columns that order them) with question and answer: the contents of the first two messages.
+
+    Both are null where either isn't there as a string, whatever else the row holds; audit() takes such a row as invalid.
+    """
+    both = [F.try_variant_get("value", f"$.messages[{k}].content", "variant") for k in (0, 1)]
+    texts = [F.when(payloads.is_string(v), F.try_variant_get("value", f"$.messages[{k}].content", "string")) for k, v in enumerate(both)]
+    whole = texts[0].isNotNull() & texts[1].isNotNull()
+    return lines.withColumns({"question": F.when(whole, texts[0]), "answer": F.when(whole, texts[1])})
+
+
 def summary(audited: DataFrame) -> DataFrame:
     """total, issues and score: invalid and duplicate rows count one, and rows with issues one more; null score for no row."""
     count = F.coalesce(F.sum(F.col("invalid").cast("long") + F.col("duplicate").cast("long") + (F.size("issues") > 0).cast("long")), F.lit(0))

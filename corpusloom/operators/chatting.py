@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,41 @@ def contexts(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     return history.filter("role = 'user'").select("conv_id", "turn", F.concat(first, "_h").alias("context"))
 
 
+def stream_chunks(lines: DataFrame, stop: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """request_id, seq, content, done of a model's streamed lines (request_id, seq, line: one JSON object each).
+
+    Blank lines and objects without a message's content give no text; a line that isn't JSON is an error of the query.
+    With `most`, chunks beyond that many of a request are dropped and the last one kept is done; with
+    stop strings, a chunk that holds one is cut there and done.
+    """
+    read = lines.filter(strip(F.col("line")) != "").withColumn("_v", F.parse_json("line"))
+    content = F.coalesce(F.try_variant_get("_v", "$.message.content", "string"), F.lit(""))
+    done = F.coalesce(F.try_variant_get("_v", "$.done", "boolean"), F.lit(False))
+    out = read.select("request_id", "seq", content.alias("content"), done.alias("done"))
+    if stop:
+        cut = F.regexp_extract("content", "(?s)^(.*?)(?:" + "|".join(map(re.escape, stop)) + ")", 0)
+        held = F.length(cut) > 0
+        inner = F.regexp_replace("content", "(?s)(?:" + "|".join(map(re.escape, stop)) + ").*$", "")
+        out = out.withColumns({"done": F.col("done") | held, "content": F.when(held, inner).otherwise(F.col("content"))})
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))
+        out = out.withColumn("_n", nth).filter(F.col("_n") <= most).withColumn("done", F.col("done") | (F.col("_n") == most)).drop("_n")
+    return out
+
+
+def histories(answers: DataFrame, key: str, seq: str, models: list[str]) -> DataFrame:
+    """key, seq, prompt and a column for each model: its answer and its own history up to it.
+
+    answers: key, seq, prompt, model, response, error. A model that failed has its error as
+    the answer's status, not as its text, and the failed exchange isn't part of its later history.
+    """
+    before = Window.partitionBy(key, "model").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    said = F.when(F.col("error").isNull(), F.struct("prompt", "response"))
+    own = answers.withColumn("history", F.collect_list(said).over(before))
+    status = F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status")
+    return own.groupBy(key, seq, "prompt").pivot("model", models).agg(F.first(F.struct("response", status, "error", "history")))
+
+
 def compare(prompts: DataFrame, models: list[str]) -> DataFrame:
     """Every prompt once for each of a few given models: adds model."""
     return prompts.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))

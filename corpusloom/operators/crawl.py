@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +36,9 @@ def links(extracted: DataFrame, domains: Sequence[str] | None = None, patterns:
 
     domains None: links on the page's own host.
     """
-    each = extracted.select(*dict.fromkeys([key, "url"]), F.explode("hrefs").alias("href"))
-    found = each.withColumn("link", urls.normalize(html.resolve(F.col("url"), F.col("href"))))
+    each = extracted.select(*dict.fromkeys([key, "url"]), F.explode(html.resolve(F.col("url"), F.col("hrefs"))).alias("_full"))
+    # through a generator, so that the filters read the normal form and don't each compute it
+    found = each.select(*dict.fromkeys([key, "url"]), F.explode(F.array(urls.normalize(F.col("_full")))).alias("link"))
     host = urls.netloc(F.col("link"))
     allowed = host.isin(*domains, "") if domains is not None else host.isin("") | (host == urls.netloc(F.col("url")))
     kept = found.filter(F.col("link").isNotNull() & allowed & ~urls.skipped(F.col("link"), patterns)).select(key, "link").distinct()
@@ -55,6 +56,42 @@ def skip_reason(responses: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     )
 
 
+Fetch = Callable[[DataFrame], DataFrame]
+
+
+def crawl(seeds: DataFrame, fetch: Fetch, domains: Sequence[str] | None = None, most: int = MAX_PAGES, least: int = MIN_CHARS, noise: Sequence[str] = html.NOISE) -> DataFrame:
+    """The whole crawl: url, level, place, skip_reason, title, content, text_file for every page that is visited.
+
+    seeds: url, rank; they are normalised but neither skipped by pattern nor by domain. fetch turns a
+    table of url into its responses (url, error, status, content_type, html), see sources.web. Pages that fail
+    or are filtered out (skip_reason, see there) count as visited and give no links; content and text_file are
+    null for them. The order is that of a first-in first-out queue, a level of it at a time; every
+    level is written, so a lost executor repeats no request of an earlier level.
+    """
+    place = Window.orderBy("o", "url")  # over `most` rows at most
+    order = seeds.select(urls.normalize(F.col("url")).alias("url"), F.struct(F.lit(0).alias("place"), F.col("rank").cast("int").alias("rank")).alias("o"))
+    visited, n, level = None, 0, 0
+    while True:
+        first = order.groupBy("url").agg(F.min("o").alias("o"))
+        if visited is not None:
+            first = first.join(visited.select("url"), "url", "left_anti")
+        frontier = materialise(first.orderBy("o", "url").limit(most - n).withColumn("place", F.row_number().over(place) - 1 + n).select("url", "place"), "frontier")
+        if not (more := frontier.count()):
+            break
+        n += more
+        pages = skip_reason(extract(fetch(frontier.select("url")), noise), least).withColumnRenamed("url", "_url")
+        pages = materialise(frontier.join(pages, F.col("url") == F.col("_url"), "left").select("url", F.lit(level).alias("level"), "place", F.when(F.col("_url").isNull(), "request failed").otherwise(F.col("skip_reason")).alias("skip_reason"), "title", "text", "hrefs"), "visited")
+        visited = pages if visited is None else visited.unionAll(pages)
+        if n >= most:
+            break
+        order = links(pages.filter("skip_reason is null"), domains, key="place").select(F.col("link").alias("url"), F.struct("place", F.col("rank").cast("int").alias("rank")).alias("o"))
+        level += 1
+    kept = F.col("skip_reason").isNull()
+    columns = ["url", "level", "place", "skip_reason", F.when(kept, F.col("title")).alias("title"), F.when(kept, F.col("text")).alias("content"), F.when(kept, F.concat(urls.slug(F.col("url")), F.lit(".txt"))).alias("text_file")]
+    empty = "url string, level int, place int, skip_reason string, title string, content string, text_file string"
+    return visited.select(*columns) if visited is not None else seeds.sparkSession.createDataFrame([], empty)
+
+
 def breadth_first(seeds: DataFrame, edges: DataFrame, most: int = MAX_PAGES, levels: int | None = None) -> DataFrame:
     """node, level, place in the order of a first-in first-out crawl, at most `most` nodes.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import materialise
+
 
 def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of each key; rows with a null or empty key go.
@@ -26,5 +28,6 @@ def flag_repeats(rows: DataFrame, key: Column, order: list[Column], out: str = "
     """Keeps all rows and marks the second and later ones of a key."""
     keyed = rows.withColumn("_key", key)
     # the first place of each key by a partial aggregate, so a frequent key isn't sorted in one task
-    first = keyed.groupBy(F.col("_key").alias("_of")).agg(F.min(F.struct(*order)).alias("_first"))
+    # and is written, so that the join back against one row a key can be split where a key is frequent
+    first = materialise(keyed.groupBy(F.col("_key").alias("_of")).agg(F.min(F.struct(*order)).alias("_first")), "first")
     return keyed.join(first, F.col("_key").eqNullSafe(F.col("_of"))).select(*rows.columns, (F.struct(*order) != F.col("_first")).alias(out))

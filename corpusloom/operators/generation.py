@@ -11,6 +11,7 @@ from corpusloom.functions import conversations, payloads, text
 from corpusloom.operators import dedupe
 
 MIN_CHARS, ATTEMPTS, BANNED, ITEMS = 200, 3, 30, 8
+#: The shape of the exchange (fixed value).
 _SHAPE = '{"items": [{"messages": [{"role": "user", "content": "..."}, {"role": "assistant", "content": "..."}]}]}'
 #: Own wording; {page}, {content}, {banned} and {items} are filled in.
 PRIMARY = f"""Write grounded training data from one page of a website.
@@ -73,19 +74,36 @@ def additional_prompts(pages: DataFrame, questions: DataFrame, template: str = A
 
 
 def generate(prompts: DataFrame, model: Callable[[str], str], attempt: int) -> DataFrame:
-    """page, attempt, response: `model` called once for each prompt, in the tasks; an exception is a null response."""
+    """page, attempt, response, error: `model` called once for each prompt, in the tasks.
+
+    The response is stripped; an exception is a null response and its text the error.
+    """
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
-            out = []
+            out, errors = [], []
             for prompt in frame["prompt"]:
+                said = error = None
                 try:
-                    out.append(model(prompt))
-                except Exception:  # noqa: BLE001  any failure of a model is a failed attempt
-                    out.append(None)
-            yield frame.assign(attempt=attempt, response=out)[["page", "attempt", "response"]]
-
-    return prompts.select("page", "prompt").mapInPandas(run, "page string, attempt int, response string")
+                    said = model(prompt).strip()
+                except Exception as e:  # noqa: BLE001  any failure of a model is a failed attempt
+                    error = f"{type(e).__name__}: {e}"
+                out.append(said)
+                errors.append(error)
+            yield frame.assign(attempt=attempt, response=out, error=errors)[["page", "attempt", "response", "error"]]
+
+    return prompts.select("page", "prompt").mapInPandas(run, "page string, attempt int, response string, error string")
+
+
+def progress(pages: DataFrame, responses: DataFrame, accepted: DataFrame) -> DataFrame:
+    """page, attempts, items, accepted for every page: its tries, the items in them, and those that stayed; zeros where there is none."""
+    tried = responses.groupBy("page").agg(F.count_distinct("attempt").alias("attempts"))
+    made = items_of(responses).groupBy("page").agg(F.count("*").alias("items"))
+    kept = accepted.groupBy("page").agg(F.count("*").alias("accepted"))
+    out = pages.select("page").distinct()
+    for part in (tried, made, kept):
+        out = out.join(part, "page", "left")
+    return out.na.fill(0, ["attempts", "items", "accepted"])
 
 
 def items_of(responses: DataFrame) -> DataFrame:

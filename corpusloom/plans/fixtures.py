@@ -52,6 +52,40 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("request_id", F.col("seq").cast("long").alias("seq"), F.when(F.col("seq") == 0, F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("content"), (F.col("seq") == last).alias("done"))
 
 
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, error, status, content_type, html: a site whose page n links to pages (k n + 1) mod N for k from 2 to 4.
+
+    Every fifth page fails, every seventh isn't found, every ninth is no HTML, and some are too short.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    n, p = pages.count(), F.col("page_id")
+    anchors = F.array_join(F.transform(F.array(*[F.lit(k) for k in (2, 3, 4)]), lambda k: F.concat(F.lit('<a href="/p/'), F.pmod(p * k + 1, F.lit(n)).cast("string"), F.lit('/?q=1#top">go</a>'))), " ")
+    body = F.concat(F.lit("<p>Page "), p.cast("string"), F.lit("</p><p>"), F.expr("repeat('lorem ipsum ', 1 + cast(page_id % 11 as int))"), F.lit("</p>"))
+    html = F.concat(F.lit("<html><head><title> Page "), p.cast("string"), F.lit(' </title></head><body><nav><a href="/p/0">home</a></nav><main>'), body, anchors, F.lit("</main></body></html>"))
+    return pages.select(
+        F.concat(F.lit("http://site.test/p/"), p.cast("string")).alias("url"),
+        F.when(p % 5 == 4, F.lit("timeout")).alias("error"),
+        F.when(p % 7 == 6, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.when(p % 9 == 8, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        html.alias("html"),
+    )
+
+
+def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, line: conversations as JSON lines; of every seven one each isn't a list, is too short, is a bare list, or holds a number."""
+    messages = F.col("messages")
+    whole = F.to_json(F.struct("messages"))
+    kind = F.col("conv_id") % 7
+    line = (
+        F.when(kind == 0, F.lit('{"messages": 5}'))
+        .when(kind == 1, F.to_json(F.struct(F.slice(messages, 1, 1).alias("messages"))))
+        .when(kind == 2, F.to_json(messages))
+        .when(kind == 3, F.lit('{"messages": [{"content": "q"}, {"content": 7}]}'))
+        .otherwise(whole)
+    )
+    return samples(spark, sf_dir).select("conv_id", line.alias("line"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target, rank: page n links to pages (k n + 1) mod N for k from 2 to 4."""
     pages = table(spark, sf_dir, "pages").select("page_id")

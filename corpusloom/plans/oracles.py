@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.functions import conversations, text, urls
 from corpusloom.operators import audit, chatting, crawl, generation, sampling, training
-from corpusloom.plans.queries import DOMAINS
+from corpusloom.plans.queries import ATTEMPTS, CHECKPOINTS, DOMAINS, STEPS
 
 #: Python's white space and line ends in RE2's syntax.
 WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
@@ -147,6 +147,15 @@ def _cut(part: str, name: str, expression: str) -> list[str]:
     return out
 
 
+def values(rows) -> str:
+    """Rows as an SQL list of values."""
+    return ", ".join("(" + ", ".join(str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else sql_text(v) for v in r) + ")" for r in rows)
+
+
+#: Lines of JSON by kind: 0 to 3 have another shape than the audit takes.
+FIRST_PAIRS = f"{SAMPLES}, pairs AS (SELECT conv_id AS doc_id, 0 AS k, texts[1] AS question, texts[2] AS answer FROM samples WHERE conv_id % 7 > 3 AND n > 1)"
+RETRIED = f"""attempts AS (SELECT * FROM (VALUES {values(ATTEMPTS)}) v(step, attempt, exit_code, timed_out) WHERE attempt <= 3),
+retried AS (SELECT step, coalesce(min(attempt) FILTER (exit_code = 0 AND NOT timed_out), max(attempt))::BIGINT AS attempts, bool_or(exit_code = 0 AND NOT timed_out) AS succeeded FROM attempts GROUP BY step)"""
 _PROMPT = {"page": "'doc ' || doc_id", "items": f"'{generation.ITEMS}'", "content": simplify(strip("text"))}
 
 SQL: dict[str, str] = {
@@ -224,7 +233,69 @@ SQL: dict[str, str] = {
       WITH {SAMPLES}, keyed AS (SELECT conv_id::VARCHAR AS page, row_number() OVER (PARTITION BY lower({strip('texts[1]')}) ORDER BY conv_id::VARCHAR) AS nth
         FROM samples WHERE {STRUCTURAL} AND conv_id % 4 <> 3 AND lower({strip('texts[1]')}) NOT IN (SELECT lower({strip('texts[1]')}) FROM samples WHERE conv_id % 8 = 0 AND roles[1] = 'user'))
       SELECT page, 0::BIGINT AS item FROM keyed WHERE nth = 1""",
-    "checkpoint_resolve": "SELECT '0000600_adapters.npz' AS checkpoint",
+    "checkpoint_resolve": f"""
+      SELECT coalesce(max(name) FILTER (regexp_matches(name, '^[0-9]{{6}}')), max(name)) AS checkpoint
+      FROM (VALUES {values((n,) for n in CHECKPOINTS)}) v(name) WHERE ends_with(name, '.safetensors') OR ends_with(name, '.npz')""",
+    "export_retries": f"WITH {RETRIED} SELECT step, attempts, succeeded FROM retried",
+    "export_steps": f"""
+      WITH {RETRIED}, steps AS (SELECT * FROM (VALUES {values(STEPS)}) v(step, position, required, there, tool, clean)),
+      planned AS (SELECT *, CASE WHEN there THEN 'skip' WHEN tool THEN 'run' WHEN NOT required THEN 'skip' ELSE 'stop' END AS own FROM steps),
+      ordered AS (SELECT *, CASE WHEN position > (SELECT coalesce(min(position), 99) FROM planned WHERE own = 'stop') THEN 'stop' ELSE own END AS action FROM planned),
+      ran AS (SELECT o.*, CASE action WHEN 'skip' THEN 'skipped' WHEN 'stop' THEN 'not run' ELSE CASE WHEN succeeded THEN 'succeeded' ELSE 'failed' END END AS first FROM ordered o LEFT JOIN retried USING (step)),
+      ended AS (SELECT *, CASE WHEN first <> 'skipped' AND position > (SELECT coalesce(min(position), 99) FROM ran WHERE first = 'failed' AND required) THEN 'not run' ELSE first END AS status FROM ran)
+      SELECT step, position, action, status, status = 'failed' AND clean AS clean_up FROM ended""",
+    "crawl_pages": f"""
+      WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+      site AS (SELECT page_id, 'http://site.test/p/' || page_id AS url, 'Page ' || page_id || chr(10) || trim(repeat('lorem ipsum ', 1 + (page_id % 11)::INT)) || chr(10) || 'go' AS text,
+        CASE WHEN page_id % 5 = 4 THEN 'request failed' WHEN page_id % 7 = 6 THEN 'status' WHEN page_id % 9 = 8 THEN 'content type' END AS failed FROM pages),
+      judged AS (SELECT *, coalesce(failed, CASE WHEN length(text) < {crawl.MIN_CHARS} THEN 'too short' END) AS skip_reason FROM site),
+      walks(node, level, path) AS (
+        SELECT * FROM (VALUES (0::BIGINT, 0, ['0']), (7::BIGINT, 0, ['1'])) v(node, level, path)
+        UNION ALL
+        SELECT (node * k + 1) % n, level + 1, list_append(path, '/p/' || (node * k + 1) % n) FROM walks JOIN judged ON page_id = node AND skip_reason IS NULL, range(2, 5) r(k), n WHERE level < 13),
+      least AS (SELECT node, min(level) AS level FROM walks GROUP BY node),
+      firsts AS (SELECT node, level, min(path) AS path FROM walks JOIN least USING (node, level) GROUP BY node, level),
+      placed AS (SELECT node, level, row_number() OVER (ORDER BY level, path) - 1 AS place FROM firsts)
+      SELECT url, level::BIGINT AS level, place, skip_reason, CASE WHEN skip_reason IS NULL THEN 'Page ' || node END AS title, CASE WHEN skip_reason IS NULL THEN length(text) ELSE 0 END::BIGINT AS n_chars,
+        CASE WHEN skip_reason IS NULL THEN 'p-' || node || '.txt' END AS text_file
+      FROM placed JOIN judged ON page_id = node WHERE place < {crawl.MAX_PAGES}""",
+    "page_names": f"SELECT page_id, replace({SLUG}, '-', ' ') AS page FROM pages",
+    "mix_datasets": f"""
+      WITH {PAIRS}, {SAMPLES}, both_files AS (SELECT *, 0 AS file FROM pairs WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM pairs),
+      website AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY {KEY}, lower({strip('answer')}) ORDER BY file, doc_id, k) AS nth
+        FROM both_files WHERE {strip('question')} <> '' AND {strip('answer')} <> '') WHERE nth = 1), {CHAT},
+      ranked AS (SELECT 'c' || conv_id AS key, row_number() OVER (ORDER BY md5('{sampling.SEED}:c' || conv_id), 'c' || conv_id) AS nth FROM chat),
+      sides AS (SELECT 'website' AS side, 'w' || doc_id || '-' || k AS key FROM website UNION ALL SELECT 'chat', key FROM ranked WHERE nth <= {TARGET})
+      SELECT side, key, md5('{sampling.SEED + 1}:' || key) AS place FROM sides""",
+    "mix_report": f"""
+      WITH {PAIRS}, {SAMPLES}, {WEBSITE}, {CHAT} SELECT count(*) AS website, {TARGET} AS chat, count(*) + {TARGET} AS total FROM website""",
+    "train_convert": f"""
+      WITH turns AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || {strip('text')} || '<|im_end|>' || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
+      ids AS (SELECT *, row_number() OVER (ORDER BY md5('{sampling.SEED}:' || conv_id), conv_id) AS nth, count(*) OVER () AS n FROM turns)
+      SELECT conv_id, '<|im_start|>system' || chr(10) || {sql_text(training.SYSTEM)} || '<|im_end|>' || chr(10) || body || '<|im_start|>assistant' || chr(10) AS text,
+        CASE WHEN nth <= floor(n * {sampling.TRAIN_SPLIT}::DOUBLE) THEN 'train' ELSE 'valid' END AS split FROM ids""",
+    "train_json_lines": f"""
+      WITH turns AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || {strip('text')} || '<|im_end|>' || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id)
+      SELECT conv_id, true AS ascii, '<|im_start|>system' || chr(10) || {sql_text(training.SYSTEM)} || '<|im_end|>' || chr(10) || body || '<|im_start|>assistant' || chr(10) AS text FROM turns""",
+    "audit_lines": f"""
+      WITH {FIRST_PAIRS}, {ISSUES} SELECT s.conv_id, f.doc_id IS NULL AS invalid, coalesce(duplicate, false) AS duplicate, coalesce(len(issues), 0)::BIGINT AS n_issues
+      FROM samples s LEFT JOIN found f ON f.doc_id = s.conv_id""",
+    "tolerant_questions": f"""
+      WITH {SAMPLES} SELECT DISTINCT lower({strip('texts[1]')}) AS question FROM samples WHERE conv_id % 11 <> 0 AND conv_id % 5 <> 0 AND roles[1] = 'user'""",
+    "json_strings": f"WITH {SAMPLES} SELECT conv_id, CASE WHEN conv_id % 7 = 3 THEN false WHEN conv_id % 7 > 3 AND n > 1 THEN true END AS string FROM samples",
+    "generation_progress": f"""
+      WITH {SAMPLES}, keyed AS (SELECT conv_id, row_number() OVER (PARTITION BY lower({strip('texts[1]')}) ORDER BY conv_id::VARCHAR) AS nth
+        FROM samples WHERE {STRUCTURAL} AND conv_id % 4 <> 3 AND lower({strip('texts[1]')}) NOT IN (SELECT lower({strip('texts[1]')}) FROM samples WHERE conv_id % 8 = 0 AND roles[1] = 'user'))
+      SELECT doc_id::VARCHAR AS page, (s.conv_id IS NOT NULL)::BIGINT AS attempts, (s.conv_id IS NOT NULL AND s.conv_id % 4 <> 3)::BIGINT AS items, (k.conv_id IS NOT NULL)::BIGINT AS accepted
+      FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN samples s ON s.conv_id = doc_id LEFT JOIN keyed k ON k.conv_id = doc_id AND nth = 1""",
+    "chat_chunks": """
+      WITH words AS (SELECT conv_id * 1000 + turn AS request_id, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant')
+      SELECT request_id, array_to_string((CASE WHEN request_id % 7 = 0 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END)[1:20], ' ') AS response FROM words""",
+    "chat_histories": """
+      WITH asked AS (SELECT conv_id, turn, length(text)::VARCHAR AS said, turn % 3 = 0 AS down FROM conversations WHERE role = 'user')
+      SELECT conv_id, turn, said AS tuned_response, 'ok' AS tuned_status, count(*) OVER w - 1 AS tuned_history, CASE WHEN NOT down THEN said END AS base_response,
+        CASE WHEN down THEN 'error' ELSE 'ok' END AS base_status, (sum((NOT down)::INT) OVER w - (NOT down)::INT)::BIGINT AS base_history
+      FROM asked WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
     "chat_accumulate": """
       WITH words AS (SELECT conv_id * 1000 + turn AS request_id, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant')
       SELECT request_id, array_to_string(CASE WHEN request_id % 7 = 0 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END, ' ') AS response FROM words""",

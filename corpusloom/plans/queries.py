@@ -11,6 +11,7 @@ from corpusloom.functions import conversations, payloads, text, urls
 from corpusloom.functions import html as html_functions
 from corpusloom.operators import audit, chatting, crawl, dedupe, generation, sampling, training
 from corpusloom.plans import fixtures
+from corpusloom.sources import files, web
 from corpusloom.plans.fixtures import table
 
 #: Hosts that the domain query allows.
@@ -101,6 +102,19 @@ def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("page_id"), F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
 
 
+@query
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl from seeds to records over an archive of responses; failed pages count and give no links."""
+    seeds = web.seed_table(spark, ["http://site.test/p/0/", "http://site.test/p/7?x", "http://site.test/p/0"])
+    found = crawl.crawl(seeds, web.archive(fixtures.archive(spark, sf_dir)), ["site.test"])
+    return found.select("url", F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"), "skip_reason", "title", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n_chars"), "text_file")
+
+
+@query
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.page_name(F.concat(urls.slug(F.col("url")), F.lit(".txt"))).alias("page"))
+
+
 # text
 
 
@@ -215,6 +229,32 @@ def mix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.mix(website, chat, "key").select("key", "place")
 
 
+@query
+def mix_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of even documents as the base, all pairs as augmented samples, conversations as chat."""
+    rows = fixtures.pair_samples(spark, sf_dir).withColumn("key", F.format_string("w%d-%d", "doc_id", "k"))
+    chat = fixtures.samples(spark, sf_dir).select(F.format_string("c%d", "conv_id").alias("key"), F.col("conv_id").alias("doc_id"), F.lit(0).cast("long").alias("k"), "messages")
+    return training.mix_datasets(rows.filter("doc_id % 2 = 0"), rows, chat, "key", "doc_id", "k").select("side", "key", "place")
+
+
+@query
+def mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.mix_report(mix_datasets(spark, sf_dir))
+
+
+@query
+def train_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.convert(fixtures.samples(spark, sf_dir), "conv_id")
+
+
+@query
+def train_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The converted rows as ASCII lines of JSON, and what they read back as."""
+    lines = train_convert(spark, sf_dir).select("conv_id", files.ascii_json(train_convert(spark, sf_dir), "text").alias("line"))
+    read = files.parse_lines(lines)
+    return read.select("conv_id", F.rlike("line", F.lit("^[\\x00-\\x7f]*$")).alias("ascii"), F.try_variant_get("value", "$.text", "string").alias("text"))
+
+
 @query
 def train_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.samples(spark, sf_dir).select("conv_id", training.chat_text(F.col("messages")).alias("text"))
@@ -240,9 +280,40 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.summary(audit.audit(fixtures.pairs(spark, sf_dir), ["doc_id", "k"]))
 
 
+@query
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit from raw lines of JSON, read strictly; rows of another shape are invalid."""
+    lines = files.parse_lines(fixtures.sample_lines(spark, sf_dir), blank="error")
+    audited = audit.audit(audit.positional(lines).select("conv_id", "question", "answer"), ["conv_id"])
+    return audited.select("conv_id", "invalid", "duplicate", F.size("issues").cast("long").alias("n_issues"))
+
+
+@query
+def tolerant_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of lines that may be malformed: every fifth is cut, every eleventh blank."""
+    c = F.col("conv_id")
+    lines = fixtures.samples(spark, sf_dir).select("conv_id", F.to_json(F.struct("messages")).alias("line"))
+    lines = lines.withColumn("line", F.when(c % 11 == 0, F.lit("  ")).when(c % 5 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line")))
+    return generation.seen_questions(files.samples(files.parse_lines(lines, strict=False)))
+
+
 # generation
 
 
+@query
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the second message's content of each line is a string; null where there is none."""
+    value = F.try_variant_get(files.payloads.strict_json(F.col("line")), "$.messages[1].content", "variant")
+    return fixtures.sample_lines(spark, sf_dir).select("conv_id", F.when(value.isNotNull(), files.payloads.is_string(value)).alias("string"))
+
+
+@query
+def generation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"))
+    responses = fixtures.payloads(spark, sf_dir).select(F.col("conv_id").cast("string").alias("page"), F.lit(1).alias("attempt"), "response")
+    return generation.progress(pages, responses, augment_samples(spark, sf_dir))
+
+
 @query
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fixtures.payloads(spark, sf_dir).select("conv_id", payloads.salvage(F.col("response")).alias("found"))
@@ -292,11 +363,28 @@ def augment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # artifacts
 
+CHECKPOINTS = ("0000200_adapters.safetensors", "0000400_adapters.safetensors", "adapters.safetensors", "0000600_adapters.npz", "config.json")
+#: step, position, required, exists, tool_exists, clean_on_failure
+STEPS = (("validate", 0, True, True, True, False), ("merge", 1, True, False, True, True), ("convert", 2, True, False, True, False), ("quantise", 3, False, False, False, False))
+#: step, attempt, exit_code, timed_out
+ATTEMPTS = (("merge", 1, 1, False), ("merge", 2, 0, True), ("merge", 3, 0, False), ("merge", 4, 1, False), ("convert", 1, 2, False), ("convert", 2, 2, False))
+
 
 @query
 def checkpoint_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["0000200_adapters.safetensors", "0000400_adapters.safetensors", "adapters.safetensors", "0000600_adapters.npz", "config.json"]
-    return training.latest_checkpoint(spark.createDataFrame([(n,) for n in names], "name string"))
+    return training.latest_checkpoint(spark.createDataFrame([(n,) for n in CHECKPOINTS], "name string"))
+
+
+@query
+def export_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spark.createDataFrame(list(STEPS), "step string, position int, required boolean, exists boolean, tool_exists boolean, clean_on_failure boolean")
+    runs = training.retried(spark.createDataFrame(list(ATTEMPTS), "step string, attempt int, exit_code int, timed_out boolean"))
+    return training.export_outcome(training.export_plan(steps), runs)
+
+
+@query
+def export_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.retried(spark.createDataFrame(list(ATTEMPTS), "step string, attempt int, exit_code int, timed_out boolean"))
 
 
 # chat
@@ -319,6 +407,24 @@ def chat_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatting.compare(prompts, ["tuned", "base"])
 
 
+@query
+def chat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as streamed lines of JSON, with a token cap of 20, read and put together."""
+    lines = fixtures.chunks(spark, sf_dir).select("request_id", "seq", F.to_json(F.struct(F.struct("content").alias("message"), "done")).alias("line"))
+    return chatting.accumulate(chatting.stream_chunks(lines, most=20))
+
+
+@query
+def chat_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models over each conversation's prompts: one repeats the prompt's length, one fails at every third turn."""
+    prompts = chatting.compare(table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt")), ["tuned", "base"])
+    fails = (F.col("model") == "base") & (F.col("turn") % 3 == 0)
+    answers = prompts.withColumns({"response": F.when(~fails, F.length("prompt").cast("string")), "error": F.when(fails, F.lit("down"))})
+    both = chatting.histories(answers, "conv_id", "turn", ["tuned", "base"])
+    columns = [f(m) for m in ("tuned", "base") for f in (lambda m: F.col(f"{m}.response").alias(f"{m}_response"), lambda m: F.col(f"{m}.status").alias(f"{m}_status"), lambda m: F.size(f"{m}.history").cast("long").alias(f"{m}_history"))]
+    return both.select("conv_id", "turn", *columns)
+
+
 @query
 def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as inputs; turn 2 of every third conversation is ' Clear ', turn 5 of every fifth 'EXIT'."""

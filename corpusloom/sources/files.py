@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import urllib.parse
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import conversations, payloads, text
+from corpusloom.runtime import delete, table_path
 
 
 def text_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,12 +17,21 @@ def text_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_name").alias("file"), text.strip(F.col("value")).alias("content")).withColumn("page", text.page_name(F.col("file")))
 
 
-def json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """line (a string), value (variant) of every line that isn't blank.
+def json_lines(spark: SparkSession, path: str, strict: bool = True, blank: str = "skip") -> DataFrame:
+    """line (a string), value (variant) and position (in the order of the file) of every line.
 
     strict: a line that isn't one JSON value fails the query when it is read; else it is dropped.
+    blank: "skip" leaves out blank lines, "error" takes them as lines that aren't JSON.
     """
-    rows = spark.read.text(path).filter(text.strip(F.col("value")) != "").select(F.col("value").alias("line"))
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return parse_lines(spark.read.text(path).select(F.col("value").alias("line"), place.alias("position")), strict, blank)
+
+
+def parse_lines(lines: DataFrame, strict: bool = True, blank: str = "skip") -> DataFrame:
+    """json_lines() for lines (line and other columns) that a table has."""
+    if blank not in ("skip", "error"):
+        raise ValueError("blank must be skip or error")
+    rows = lines.filter(text.strip(F.col("line")) != "") if blank == "skip" else lines
     parsed = rows.withColumn("value", payloads.strict_json(F.col("line")))
     if strict:
         return parsed.withColumn("value", F.when(F.col("value").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.col("line"))).cast("variant")).otherwise(F.col("value")))
@@ -32,19 +44,81 @@ def samples(lines: DataFrame) -> DataFrame:
 
 
 def existing_questions(spark: SparkSession, path: str) -> DataFrame:
-    """question keys of a file that may be malformed in places."""
+    """question keys of a file that may be malformed in places; none where there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "question string")
     found = samples(json_lines(spark, path, strict=False))
     first = F.get(F.col("messages"), 0)
     return found.filter(F.coalesce(first["role"] == "user", F.lit(False))).select(conversations.question_key(F.col("messages"), collapsed=False).alias("question")).filter("question is not null").distinct()
 
 
-def write_json_lines(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """JSON lines in UTF-8, in a folder for each value of `by`."""
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).json(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)  # noqa: SLF001
+
+
+def missing_inputs(spark: SparkSession, paths: dict[str, str]) -> list[str]:
+    """One message for each of the named paths that isn't there."""
+    return [f"missing {name}: {path}" for name, path in paths.items() if not exists(spark, path)]
+
+
+def too_few(rows: DataFrame, least: int = 50) -> bool:
+    """Whether a table has fewer rows than training should have; reads `least` rows at most."""
+    return rows.limit(least).count() < least
+
+
+def ascii_json(rows: DataFrame, *columns: str) -> Column:
+    """A row as a line of JSON with every character beyond ASCII escaped, in UTF-16 units."""
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    units = F.encode(line, "UTF-16BE")
+    groups = F.regexp_extract_all(F.hex(units), F.lit("(.{4})"), F.lit(1))
+    escaped = F.array_join(F.transform(groups, lambda h: F.when(h < "0080", F.decode(F.unhex(F.substring(h, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(h)))), "")
+    return F.when(F.rlike(line, F.lit("[^\\x00-\\x7f]")), escaped).otherwise(line)
+
+
+def write_json_lines(rows: DataFrame, path: str, by: list[str] | None = None, ascii_only: bool = False) -> None:
+    """JSON lines, in a folder for each value of `by`; in UTF-8, or with ascii_only escaped beyond ASCII."""
+    by = by or []
+    if ascii_only:
+        line = ascii_json(rows, *[c for c in rows.columns if c not in by])
+        rows.select(*by, line.alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+    else:
+        rows.write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def write_pages(files: DataFrame, path: str) -> None:
-    """One text file for each (text_file, value), in folders named by text_file; the last of equal names in order of value stays."""
-    last = files.groupBy("text_file").agg(F.max("value").alias("value"))
-    last.repartition("text_file").write.mode("overwrite").partitionBy("text_file").text(path)
+    """One UTF-8 file, named by text_file, for each (text_file, value); of equal names the last in order of value stays.
+
+    The texts are written by tasks, one part file for each name; the driver then only moves those to their names.
+    """
+    spark = files.sparkSession
+    # Spark ends every text with a line feed, so a text's own last one is left to it
+    last = files.groupBy("text_file").agg(F.regexp_replace(F.max("value"), "\\n$", "").alias("value"))
+    parts = table_path(spark, "pages")
+    last.repartition("text_file").write.partitionBy("text_file").text(parts)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    source, target = hadoop.Path(parts), hadoop.Path(path)
+    fs, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    to.mkdirs(target)
+    listed = fs.listFiles(source, True)
+    while listed.hasNext():
+        part = listed.next().getPath()
+        if not part.getName().startswith("part-"):
+            continue
+        name = urllib.parse.unquote(part.getParent().getName().removeprefix("text_file="))
+        hadoop.FileUtil.copy(fs, part, to, hadoop.Path(target, name), True, True, conf)
+    delete(spark, parts)
+
+
+def json_array(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row, value: all rows as an indented JSON array, in order. For an index of a crawl's size (its page limit bounds it)."""
+    columns = rows.columns
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)], F.struct(*columns).alias("r")))).alias("a"))
+    return one.select(F.to_json(F.transform("a", lambda x: x["r"]), {"pretty": "true"}).alias("value"))
+
+
+def preview(rows: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows in order."""
+    return rows.orderBy(*order).limit(n)

@@ -1,11 +1,14 @@
 """Operators with state, sources and sinks on small tables."""
 
+import datetime
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chatting, crawl, dedupe, generation, training
-from corpusloom.sources import files
+from corpusloom.operators import audit, chatting, crawl, dedupe, generation, sampling, training
+from corpusloom.sources import files, web
 from corpusloom.streaming.accumulate import accumulate_stream
 
 
@@ -72,7 +75,8 @@ def test_generate_turns_failures_into_null(spark):
             raise RuntimeError
         return prompt * 2
 
-    assert {r.page: r.response for r in generation.generate(prompts, model, 1).collect()} == {"a": "xx", "b": None}
+    got = {r.page: (r.response, r.error) for r in generation.generate(prompts, lambda p: f" {model(p)}\n", 1).collect()}
+    assert got == {"a": ("xx", None), "b": (None, "RuntimeError: ")}
 
 
 def test_checkpoints(spark):
@@ -107,7 +111,114 @@ def test_files(spark, tmp_path):
     assert sorted((r.split, r.text) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("train", "é"), ("valid", "b")]
     records = spark.createDataFrame([("https://h/a", "T", "body", "a.txt")], "url string, title string, content string, text_file string")
     files.write_pages(crawl.page_file(records), str(tmp_path / "pages"))
-    assert spark.read.text(str(tmp_path / "pages"), wholetext=True).first().value.strip() == "T\nURL: https://h/a\n\nbody"
+    assert (tmp_path / "pages/a.txt").read_bytes() == b"T\nURL: https://h/a\n\nbody\n"
+
+
+def test_odd_file_names_and_collisions(spark, tmp_path):
+    rows = [("a b.txt", "1\n"), ("c%é.txt", "é\n"), ("x.txt", "1\n"), ("x.txt", "2\n")]
+    files.write_pages(spark.createDataFrame(rows, "text_file string, value string"), str(tmp_path / "p"))
+    assert {p.name: p.read_text() for p in (tmp_path / "p").glob("*.txt")} == {"a b.txt": "1\n", "c%é.txt": "é\n", "x.txt": "2\n"}
+
+
+def test_strict_and_tolerant_files(spark, tmp_path):
+    assert files.existing_questions(spark, str(tmp_path / "none.jsonl")).count() == 0
+    assert files.missing_inputs(spark, {"chat": str(tmp_path / "none"), "folder": str(tmp_path)}) == [f"missing chat: {tmp_path / 'none'}"]
+    path = tmp_path / "b.jsonl"
+    path.write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert [r.line for r in files.json_lines(spark, str(path)).orderBy("position").collect()] == ['{"a": 1}', '{"a": 2}']
+    with pytest.raises(Exception, match="not JSON"):
+        files.json_lines(spark, str(path), blank="error").select("value").collect()
+    assert files.too_few(spark.range(49)) and not files.too_few(spark.range(50))
+
+
+def test_ascii_lines_and_array(spark, tmp_path):
+    rows = spark.createDataFrame([("train", 'é "\U0001f600" \n'), ("valid", "plain"), ("valid", None)], "split string, text string")
+    files.write_json_lines(rows, str(tmp_path / "o"), ["split"], ascii_only=True)
+    lines = [line for p in (tmp_path / "o").rglob("part-*.txt") for line in p.read_text().splitlines()]
+    assert sorted(lines) == sorted([json.dumps({"text": 'é "\U0001f600" \n'}, separators=(",", ":")), '{"text":"plain"}', '{"text":null}'])
+    records = spark.createDataFrame([(2, "b"), (1, "é")], "k int, t string")
+    value = files.json_array(records, ["k"]).first().value
+    assert json.loads(value) == [{"k": 1, "t": "é"}, {"k": 2, "t": "b"}] and "é" in value and "\n" in value
+    assert [r.k for r in files.preview(records, ["k"], 1).collect()] == [1]
+
+
+def test_crawl_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    long = "word " * 30
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            pages = {"/": f'<title>Home</title><main>{long}<a href="/b#x">b</a><a href="a/">a</a><a href="/lost">l</a><a href="http://other/">o</a></main>', "/a": f"<main>{long}a</main>", "/b": "<main>short</main>"}
+            found = pages.get(self.path)
+            self.send_response(200 if found else 404)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write((found or "none").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    seeds = web.seed_table(spark, [base, "http://127.0.0.1:1/x"])
+    got = [(r.url.removeprefix(base), r.level, r.skip_reason, r.title, r.text_file) for r in crawl.crawl(seeds, web.http(timeout=5)).orderBy("place").collect()]
+    server.shutdown()
+    assert got == [("/", 0, None, "Home", "home.txt"), ("http://127.0.0.1:1/x", 0, "request failed", None, None), ("/a", 1, None, f"{base}/a", "a.txt"), ("/b", 1, "too short", None, None), ("/lost", 1, "status", None, None)]
+
+
+def test_crawl_edges(spark):
+    none = spark.createDataFrame([], "url string, error string, status int, content_type string, html string")
+    assert crawl.crawl(spark.createDataFrame([], "url string, rank int"), web.archive(none)).count() == 0
+    got = crawl.crawl(web.seed_table(spark, ["http://a/x", "http://a/x/"]), web.archive(none)).collect()
+    assert [(r.url, r.skip_reason) for r in got] == [("http://a/x", "request failed")]
+
+
+def test_split_keeps_repeated_keys_together(spark):
+    rows = spark.createDataFrame([(k % 4,) for k in range(8)], "k int")
+    got = sampling.split_exact(rows, "k", 0.5).collect()
+    assert len(got) == 8 and len({(r.k, r.split) for r in got}) == 4
+
+
+def test_compat_mix_draws_and_shuffles_from_one_state(spark):
+    import random
+
+    website = [f"w{k}" for k in range(30)]
+    chat = [f"c{k}" for k in range(10)]
+    state = random.Random(42)
+    expected = sorted(website) + state.sample(sorted(chat), 5)
+    state.shuffle(expected)
+    both = [spark.createDataFrame([(k,) for k in side], "key string") for side in (website, chat)]
+    got = training.mix(*both, "key", mode="compat").orderBy("place").collect()
+    assert [r.key for r in got] == expected
+
+
+def test_mix_needs_both_sides(spark):
+    good = spark.createDataFrame([("a", 1, [("user", "q"), ("assistant", "a")])], "key string, k int, messages array<struct<role:string,content:string>>")
+    with pytest.raises(ValueError, match="chat"):
+        training.mix_datasets(good, None, good.limit(0), "key", "k")
+
+
+def test_manifests(spark):
+    words = [r.argument for r in training.trainer_manifest(spark, "m", "d", "o", "cp", batch_size=1).orderBy("position").collect()]
+    assert words == ["--train", "--model", "m", "--data", "d", "--adapter-path", "o", "--batch-size", "1", "--resume-adapter-file", "cp"]
+    inputs = spark.createDataFrame([(0, "model", "/m", False, "train first"), (1, "tool", "/t", True, ""), (2, "folder", "/f", False, "make it")], "position int, name string, path string, exists boolean, remedy string")
+    assert [r.error for r in training.input_errors(inputs).orderBy("position").collect()] == ["missing model: /m. train first", "missing folder: /f. make it"]
+    assert training.serving_row(spark, "tuned", "/m").first().temperature == 0.7
+
+
+def test_audit_with_a_sites_own_phrase(spark):
+    rows = spark.createDataFrame([(1, "q", "As the Acme page says, yes.")], "k int, question string, answer string")
+    found = audit.audit(rows, ["k"], (*audit.PHRASES, "acme page")).first().issues
+    assert [(i.issue, i.fix) for i in found] == [("bad phrase", "Remove 'acme page'")]
+
+
+def test_stop_strings_end_an_answer(spark):
+    rows = [(1, k, json.dumps({"message": {"content": c}, "done": False})) for k, c in enumerate(["a ", "b user: c", " d"])] + [(1, 3, "  "), (2, 0, '{"done": true}')]
+    got = chatting.accumulate(chatting.stream_chunks(spark.createDataFrame(rows, "request_id int, seq int, line string"), ["user:", "User:"]))
+    assert {r.request_id: r.response for r in got.collect()} == {1: "a b ", 2: ""}
 
 
 def test_sessions(spark):
@@ -130,6 +241,20 @@ def test_stream_accumulates_over_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in chatting.accumulate(batch).collect()) == [(1, "abc"), (2, "x")]
 
 
+def test_stream_forgets_old_requests(spark, tmp_path):
+    ddl = "request_id long, seq long, content string, done boolean, at timestamp"
+    day = datetime.datetime(2024, 1, 1)
+    parts = [[(1, 0, "a", True, 0), (2, 0, "x", False, 0)], [(3, 0, "c", True, 60)], [(4, 0, "d", True, 120)]]
+    for k, part in enumerate(parts):
+        rows = [(*r[:4], day + datetime.timedelta(minutes=r[4])) for r in part]
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / f"src/{k}"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src/*"))
+    q = accumulate_stream(stream, "at").writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sorted(tuple(r) for r in spark.table("kept").collect()) == [(1, "a"), (3, "c"), (4, "d")]
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
 def test_crawl_order_walks_sparse_links_to_the_end(spark, sf_dir, monkeypatch):
     from corpusloom.plans import fixtures, queries
 
