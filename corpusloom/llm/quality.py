@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +116,8 @@ def verdict(rules: tuple[tuple[str, str, str, float], ...] = RULES) -> tuple[Col
 def score_quality(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, str, str, float], ...] = RULES) -> DataFrame:
     """measures() and, from them, base_failed, kept (boolean) and rejected_by (names of rules).
 
+    Columns of docs that have one of these names are replaced. Filter with keep_good(), which says why.
+
     base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows.
     """
     passed, names = verdict(rules)
@@ -122,11 +126,13 @@ def score_quality(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, s
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, str, str, float], ...] = RULES) -> DataFrame:
-    """The rows of docs that score_quality() keeps, with their own columns.
+    """The rows of docs that score_quality() keeps, with their own columns, also those that are named as a measure.
 
     A plain filter on `kept` would be pushed below the projections, and all that
     the verdict is made of computed again in it; the partition's number, which may not be
     moved, holds the filter above them.
     """
-    scored = score_quality(docs, text, rules).withColumn("_at", F.spark_partition_id())
-    return scored.filter("kept and _at >= 0").select(*docs.columns)
+    own = f"_own_{uuid.uuid4().hex[:12]}"
+    rows = docs.select(F.struct("*").alias(own), F.col(text))
+    scored = score_quality(rows, text, rules).withColumn("_at", F.spark_partition_id())
+    return scored.filter("kept and _at >= 0").select(f"{own}.*")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.bpe import ByteBpe, WordBpe
@@ -86,6 +87,21 @@ def pack(docs: DataFrame, path: str, special: dict[str, int] | None = None, end:
     return _packed(docs, path, special, end, longest, key, text, keep, "bucket int, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+def bucketed(packed: DataFrame, tasks: int = 64) -> DataFrame:
+    """Rows of pack() gathered by bucket: each partition holds stretches of sequences of one length.
+
+    A bucket is dealt to `tasks` pieces by the sequences' ids, so the fullest one isn't sorted in one
+    task. A reader takes a stretch as batches of equal length, without padding. write_buckets() puts them in folders.
+    """
+    piece = F.pmod(F.xxhash64("sequence_id", "start"), F.lit(tasks))
+    return packed.repartition("bucket", piece).sortWithinPartitions("bucket", "sequence_id", "offset")
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """bucketed() rows as Parquet, a folder for each bucket."""
+    bucketed(packed).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def pack_digests(docs: DataFrame, path: str, special: dict[str, int] | None = None, end: int = 0, longest: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """pack() in the same pass, with ids_crc32 in the place of ids."""
 

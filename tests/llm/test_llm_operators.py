@@ -364,6 +364,23 @@ def test_runs_are_merged_by_level_and_the_index_opened_again(spark, docs, rows):
     index.drop()
 
 
+def test_quality_keeps_columns_with_the_names_of_measures(spark):
+    text = "the quick brown fox jumps over the lazy dog and of course it runs to the river"
+    rows = spark.createDataFrame([(1, text, 7, "mine", 3), (2, "x", 8, "yours", 4)], "doc_id long, text string, n_words int, kept string, _at int")
+    assert [tuple(r) for r in quality.keep_good(rows).collect()] == [(1, text, 7, "mine", 3)]
+
+
+def test_buckets(spark, docs, tmp_path):
+    packed = tokenize.pack(docs, BYTE)
+    tokenize.write_buckets(packed, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted((r.sequence_id, r.length) for r in back.collect()) == sorted((r.sequence_id, r.length) for r in packed.collect())
+    assert back.filter("length != pow(2, bucket)").count() == 0
+    for part in tokenize.bucketed(packed).select("bucket", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("m", "bucket"))).alias("b")).collect():
+        found = [x.bucket for x in part.b]
+        assert found == sorted(found)
+
+
 def test_crowded_anchors(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(substrings, "CROWD", 1)
     monkeypatch.setattr(substrings, "AT_ONCE", 16)
