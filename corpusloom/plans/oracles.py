@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.functions import conversations, text, urls
 from corpusloom.operators import audit, chatting, crawl, generation, sampling, training
-from corpusloom.plans.queries import ATTEMPTS, CHECKPOINTS, DOMAINS, STEPS
+from corpusloom.plans.queries import ATTEMPTS, CHECKPOINTS, DOMAINS, SEEDS, STEPS
 
 #: Python's white space and line ends in RE2's syntax.
 WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
@@ -250,7 +250,7 @@ SQL: dict[str, str] = {
         CASE WHEN page_id % 5 = 4 THEN 'request failed' WHEN page_id % 7 = 6 THEN 'status' WHEN page_id % 9 = 8 THEN 'content type' END AS failed FROM pages),
       judged AS (SELECT *, coalesce(failed, CASE WHEN length(text) < {crawl.MIN_CHARS} THEN 'too short' END) AS skip_reason FROM site),
       walks(node, level, path) AS (
-        SELECT * FROM (VALUES (0::BIGINT, 0, ['0']), (7::BIGINT, 0, ['1'])) v(node, level, path)
+        SELECT * FROM (VALUES {', '.join(f"({p}::BIGINT, 0, ['{k}'])" for k, p in enumerate(SEEDS))}) v(node, level, path)
         UNION ALL
         SELECT (node * k + 1) % n, level + 1, list_append(path, '/p/' || (node * k + 1) % n) FROM walks JOIN judged ON page_id = node AND skip_reason IS NULL, range(2, 5) r(k), n WHERE level < 13),
       least AS (SELECT node, min(level) AS level FROM walks GROUP BY node),
