@@ -2,6 +2,10 @@
 
 The vocabulary of an existing subword tokenizer gives the pieces. Their weights
 are the frequencies of the tokenizer's own segmentation of the training words.
+Each training word is a further piece, for that word as a whole, weighted by its count; so
+what is learnt grows with the corpus. Beside it an escape leads into the vocabulary's pieces, with
+the weight that Witten and Bell give to unseen events: of n tokens, v of them distinct,
+the word c / (n + v), the escape v / (n + v).
 A text is a sequence of words, each opened by a word mark and made of pieces,
 and an end piece. No piece crosses words, so the lattice of a text falls apart
 into the lattices of its words: a word's marginal is made once by a forward recursion
@@ -150,6 +154,18 @@ class Lattice:
         return top + log(sum([exp(x - top) for x in found]))
 
 
+def with_whole(pieces: float, c: int, n: int, v: int) -> float:
+    """log of the sum of two ways: the token itself, seen c times of n, or by an escape to its pieces (a log); v distinct tokens."""
+    if not n:
+        return pieces
+    escaped = math.log(v / (n + v)) + pieces
+    if not c:
+        return escaped
+    whole = math.log(c / (n + v))
+    top = max(whole, escaped)
+    return top + math.log(math.exp(whole - top) + math.exp(escaped - top))
+
+
 def load_pieces(path: str) -> tuple[list[str], list[int]]:
     """The pieces of a sentencepiece model by id, and the ids of the 256 byte pieces."""
     import sentencepiece
@@ -185,7 +201,8 @@ def score_documents(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame
     Tokens: words (runs of other than the six ASCII white-space characters, A-Z
     lower-cased), then one end. base_score: log10 of the add-one word model from
     the training texts. score: log10 of the text's marginal probability under the
-    piece lattice; `path` is the sentencepiece model. Training texts are those of in_training().
+    lattice of pieces and whole training words; without training texts, of pieces
+    alone. `path` is the sentencepiece model. Training texts are those of in_training().
     Null and empty texts are the end alone; repeated rows are scored, and learnt from, each.
     """
     numbered = materialise(number_words(docs, block), "numbered")
@@ -200,7 +217,7 @@ def score_documents(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame
     names, byte_ids = load_pieces(path)
     total = sum(seen.values()) + ends + SMOOTHING * (len(names) + 1)
     weights = [math.log((seen.get(k, 0) + SMOOTHING) / total) for k in range(len(names))]
-    end_weight = math.log((ends + SMOOTHING) / total)
+    end_weight = with_whole(math.log((ends + SMOOTHING) / total), ends, n, v)
     special = {0, 1, 2, *byte_ids}
     pieces = {p: w for k, (p, w) in enumerate(zip(names, weights, strict=True)) if k not in special}
     shared = docs.sparkSession.sparkContext.broadcast((pieces, [weights[k] for k in byte_ids]))
@@ -208,7 +225,7 @@ def score_documents(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame
     def marginals(rows: Iterator[tuple]) -> Iterator[tuple]:
         lattice = Lattice(*shared.value)
         for word, c in rows:
-            yield word, c, lattice.marginal(word)
+            yield word, c, with_whole(lattice.marginal(word), c, n, v)
 
     known = map_rows(counts.select("word", "c"), marginals, "word string, c long, weight double")
     found = vocabulary.select("block", "number", "word").join(known, "word").select(F.col("block").alias("of"), "number", "c", "weight")

@@ -96,6 +96,43 @@ def segmentations(word, pieces, spelt):
     return total
 
 
+def lattice_scores(docs, path, smoothing):
+    """log10 of each text's marginal: each word whole, by its training count, or by an escape into every segmentation."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    counts = Counter()
+    for k, t in docs.items():
+        if not held_out(k):
+            counts.update([*words(t, lower=True), None])
+    used = Counter(i for w, c in counts.items() if w is not None for i in model.encode(w) for _ in range(c))
+    size = model.get_piece_size()
+    total = sum(used.values()) + counts[None] + smoothing * (size + 1)
+    weight = {model.id_to_piece(i): (used[i] + smoothing) / total for i in range(size)}
+    pieces = {p: w for p, w in weight.items() if not (p.startswith("<0x") or p in ("<unk>", "<s>", "</s>"))}
+    longest = max(map(len, pieces))
+    n, v = sum(counts.values()), len(counts)
+
+    def inside(word):
+        # sums over suffixes, by multiplication; scaled, so that long words don't underflow
+        word, scale = "▁" + word, 0
+        sums = {len(word): 1.0}
+        for i in reversed(range(len(word))):
+            spelt = math.prod(weight[f"<0x{b:02X}>"] for b in word[i].encode())
+            sums[i] = spelt * sums[i + 1] + sum(pieces[word[i:j]] * sums[j] for j in range(i + 1, min(len(word), i + longest) + 1) if word[i:j] in pieces)
+            if sums[i] < 1e-100:
+                sums = {j: x * 1e100 for j, x in sums.items()}
+                scale -= 100
+        return math.log10(sums[0]) + scale
+
+    def of(token):
+        spelt = math.log10((counts[None] + smoothing) / total) if token is None else inside(token)
+        escaped = math.log10(v / (n + v)) + spelt
+        return math.log10(counts[token] / (n + v) + 10**escaped) if counts[token] else escaped
+
+    return {k: sum(of(x) for x in [*words(t, lower=True), None]) for k, t in docs.items()}
+
+
 def merge(symbols, ranks):
     """Byte-pair merging, one pair at a time, the lowest rank and then the leftmost first."""
     symbols = list(symbols)

@@ -443,11 +443,29 @@ def test_likeness_is_unbiased():
 @pytest.mark.parametrize("block", [300, 1 << 24])
 def test_language_model(docs, rows, block):
     got = by_id(lattice.score_documents(docs, PIECE, block))
+    scores = brute.lattice_scores(dict(rows), PIECE, lattice.SMOOTHING)
     for k, expected in brute.base_scores(dict(rows)).items():
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == expected[:4]
         assert math.isclose(r.base_score, expected[4], rel_tol=1e-9)
-        assert r.score < 0
+        assert math.isclose(r.score, scores[k], rel_tol=1e-9)
+
+
+def test_language_model_learns_words(spark):
+    said = [(k, "xqzv wkjy " * (k + 1)) for k in range(40)]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    got = [r for r in lattice.score_documents(docs, PIECE).collect() if r.held_out]
+    assert got and all(r.score > r.base_score - 0.1 * r.n_tokens for r in got)
+    # no training texts at all: pieces alone
+    alone = by_id(lattice.score_documents(spark.createDataFrame([(k, "xq") for k in range(40) if brute.held_out(k)], "doc_id long, text string"), PIECE))
+    assert all(r.train_tokens == 0 and r.n_known == 0 and -30 < r.score < 0 for r in alone.values())
+
+
+def test_whole_words_and_escape_are_a_distribution():
+    counts = {"a": 5, "b": 2, None: 3}
+    lattice_of = {"a": 0.3, "b": 0.1, "c": 0.2, None: 0.4}
+    n, v = sum(counts.values()), len(counts)
+    assert math.isclose(sum(math.exp(lattice.with_whole(math.log(p), counts.get(w, 0), n, v)) for w, p in lattice_of.items()), 1.0)
 
 
 def test_marginal_sums_all_segmentations():
