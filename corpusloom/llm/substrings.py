@@ -34,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import map_rows, schema_of
@@ -232,19 +232,31 @@ def compare(stretches: DataFrame) -> DataFrame:
 
 
 def compare_rows(stretches: DataFrame, scratch: Scratch) -> DataFrame:
-    """compare() for anchors of any number of stretches: windows as rows, no group is gathered.
+    """compare() for anchors of any number of stretches; no group is gathered.
 
-    The first occurrence of each window that has several is found by partial
-    aggregates and written, one row a window; the join back against it is split where a window is frequent.
+    Equal stretches are one class, made by partial aggregates, and stand behind its first one; only classes
+    are taken apart into windows. Where each window begins first is found by partial aggregates too. What a class
+    finds is put together into spans (a stretch has STRETCH windows at most), which then join the class's stretches,
+    one row a span. Classes and spans are written first, so the joins against them are split where a class is frequent.
     """
-    windows = stretches.select("a", "doc_id", "t", "start", "fresh", F.posexplode("hs").alias("k", "h")).withColumn("at", F.col("start") + F.col("k"))
-    first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "t", "at", "start", "a", F.col("fresh").isNull().alias("past"))).alias("x"), F.max("doc_id").alias("high"))
+    key = ["doc_id", "t", "start"]
+    classes = stretches.groupBy("a", "hs").agg(F.min(F.struct(*key, F.col("fresh").isNull().alias("past"))).alias("x"), F.max("doc_id").alias("high"))
+    classes = scratch.keep(classes.select("a", "hs", "x.*", "high"), "classes")
+    windows = classes.select("a", *key, "past", "high", F.posexplode("hs").alias("k", "h"))
+    first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "t", (F.col("start") + F.col("k")).alias("at"), "start", "a", "past")).alias("x"), F.max("high").alias("high"))
     first = scratch.keep(first.select("h", "x.*", "high"), "first")
     several = first.filter("doc_id < high").select("h", F.col("doc_id").alias("of"), F.col("t").alias("of_t"), F.col("at").alias("place"))
-    found = windows.filter("fresh").join(several, "h").filter("of < doc_id").select("doc_id", "t", F.col("at").alias("start"), F.lit(1).alias("n"), "of", "of_t", "place", F.lit(None).cast("long").alias("a"), F.lit(None).cast("array<long>").alias("hs"))
-    holds = scratch.keep(first.filter("not past").select("a", "doc_id", "t", "start").distinct(), "holds")
+    # runs of windows with one source and shift; a partition is one class's at most
+    alike = Window.partitionBy(*key, "of", "of_t", F.col("place") - F.col("k")).orderBy("k")
+    places = windows.join(several, "h").withColumn("run", F.col("k") - F.row_number().over(alike))
+    spans = places.groupBy(*key, "of", "of_t", F.col("place") - F.col("k"), "run").agg(F.min("k").alias("k"), F.count("*").cast("int").alias("n"), F.min("place").alias("place"))
+    spans = classes.select("a", "hs", *key).join(spans.select(*key, "of", "of_t", "k", "n", "place"), key)
+    spans = scratch.keep(spans.select("a", "hs", "of", "of_t", "k", "n", "place"), "class-spans")
+    found = stretches.filter("fresh").join(spans, ["a", "hs"]).filter("of < doc_id")
+    found = found.select("doc_id", "t", (F.col("start") + F.col("k")).alias("start"), "n", "of", "of_t", "place", F.lit(None).cast("long").alias("a"), F.lit(None).cast("array<long>").alias("hs"))
+    holds = first.filter("not past").select(*key).distinct()
     none = [F.lit(None).cast(k).alias(c) for c, k in (("n", "int"), ("of", "long"), ("of_t", "long"), ("place", "int"))]
-    index = stretches.filter("fresh is not null").dropDuplicates(["a", "doc_id", "t", "start"]).join(holds, ["a", "doc_id", "t", "start"])
+    index = classes.filter("not past").join(holds, key, "left_semi")
     return found.unionByName(index.select("doc_id", "t", "start", *none, "a", "hs"))
 
 
