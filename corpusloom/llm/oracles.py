@@ -100,4 +100,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM split LEFT JOIN kept USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_sharding": SHARDING, "op4_chat_format": CHAT, "op6_near_duplicates": NEAR, "op8_substring_dedup": REPEATS}
+COLLOCATIONS = f"""
+WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM parts),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM split, range(1, 6) r(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, a, n, cut, x.f AS l, y.f AS r, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN sizes s ON s.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT lang, k, a, w, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM cuts WHERE cut = 1))
+  WHERE j - i + 1 < k GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b LEFT JOIN inside i USING (lang, phrase) WHERE coalesce(longer < a, true) QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_sharding": SHARDING, "op4_chat_format": CHAT, "op6_near_duplicates": NEAR, "op8_substring_dedup": REPEATS, "op12_collocations": COLLOCATIONS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, fingerprints, lattice, neardup, quality, sharding, substrings, tokenize
+from corpusloom.llm import chat, collocations, fingerprints, lattice, neardup, patterns, periods, quality, sharding, substrings, tokenize
 
 #: The one special token of the byte-level vocabulary.
 BYTE_SPECIAL = {"<|endoftext|>": 50256}
@@ -67,6 +67,31 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.find_runs(docs)
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["start"]).alias("start"),
+        best["length"].alias("length"),
+        (-best["period"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, top=2000)
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack_few(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), BYTE_SPECIAL, end=0, longest=2048, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -78,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scores": op10_lm_scores,
+    "op11_periods": op11_periods,
+    "op12_collocations": op12_collocations,
+    "op13_pattern_packing": op13_pattern_packing,
 }

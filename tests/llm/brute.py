@@ -149,3 +149,65 @@ def conversations(rows):
     for conv, turn, role, text in rows:
         out[conv].append((turn, role or "", text or ""))
     return {k: [(r, t) for _, r, t in sorted(v)] for k, v in out.items()}
+
+
+def contract_words(doc_id, text):
+    """The words that op11 looks at."""
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(w)
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w, least, exponent):
+    """(start, length, period) of all runs, by trying every period at every place."""
+    out = []
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            size = j - i + q
+            if j > i and size >= max(least, exponent * q) and not any(all(w[x] == w[x + d] for x in range(i, i + size - d)) for d in range(1, q)):
+                out.append((i, size, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periods(doc_id, text):
+    """op11's row."""
+    w = contract_words(doc_id, text)
+    found = runs(w, 6, 4)
+    gone = {i for s, size, q in found for i in range(s + q, s + size)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+    said = "".join(f"{s},{size},{q}\n" for s, size, q in found)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (len(found), *best, best[1] and 1000 * best[1] // best[2], hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def collocations(rows, least, longest=5, top=2000):
+    """op12's rows for (lang, text)."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        some = {x: a for x, a in counts.items() if len(x) > 1 and a >= least}
+        ranked = []
+        for x, a in some.items():
+            if any(b >= a and len(y) > len(x) and any(y[i : i + len(x)] == x for i in range(len(y))) for y, b in some.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (counts[x[:k]] * counts[x[k:]]), k) for k in range(1, len(x)))
+            ranked.append((-score, -a, " ".join(x).encode(), counts[x[:k]], counts[x[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(ranked)[:top])]
+    return sorted(out)
