@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions.text import strip
 
@@ -23,15 +27,31 @@ def salvage(text: Column) -> Column:
     )
 
 
+@F.pandas_udf(StringType())
+def _python_json(texts: pd.Series) -> pd.Series:
+    """A text as plain JSON, read by Python's rules; null where it isn't one JSON value."""
+
+    def plain(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(json.loads(text, parse_constant=lambda _: None))
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([plain(t) for t in texts], dtype=object)
+
+
 def strict_json(text: Column) -> Column:
     """The variant that a whole text is; null where it isn't exactly one JSON value.
 
-    try_parse_json alone would take the first value and ignore what follows, so
-    the text is parsed as the first of two elements of a list.
+    Spark's parser refuses repeated keys and NaN or Infinity. Texts that it refuses, and only those, are read
+    as Python's json module does: of a repeated key the last value stays, and those numbers become JSON's null.
     """
+    # try_parse_json alone would take the first value and ignore what follows, so the text is the first of two elements of a list
     both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"~~end~~"]'))), "$", "array<variant>")
     closed = F.coalesce((F.size(both) == 2) & (F.try_variant_get(F.get(both, 1), "$", "string") == "~~end~~"), F.lit(False))
-    return F.when(closed, F.get(both, 0))
+    return F.when(closed, F.get(both, 0)).otherwise(F.try_parse_json(_python_json(F.when(~closed, text))))
 
 
 def unwrap(value: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -35,21 +34,30 @@ def stream_chunks(lines: DataFrame, stop: Sequence[str] = (), most: int | None =
     """request_id, seq, content, done of a model's streamed lines (request_id, seq, line: one JSON object each).
 
     Blank lines and objects without a message's content give no text; a line that isn't JSON is an error of the query.
-    With `most`, chunks beyond that many of a request are dropped and the last one kept is done; with
-    stop strings, a chunk that holds one is cut there and done.
+    With `most`, chunks beyond that many of a request are dropped and the last one kept is done. With
+    stop strings, the answer ends before the first place where one stands, also over several chunks: the chunk in which it
+    begins is cut there and done, later ones go, and so do chunks behind one that is done. An answer is one row while it is looked through.
     """
     read = lines.filter(strip(F.col("line")) != "").withColumn("_v", F.parse_json("line"))
     content = F.coalesce(F.try_variant_get("_v", "$.message.content", "string"), F.lit(""))
     done = F.coalesce(F.try_variant_get("_v", "$.done", "boolean"), F.lit(False))
     out = read.select("request_id", "seq", content.alias("content"), done.alias("done"))
-    if stop:
-        cut = F.regexp_extract("content", "(?s)^(.*?)(?:" + "|".join(map(re.escape, stop)) + ")", 0)
-        held = F.length(cut) > 0
-        inner = F.regexp_replace("content", "(?s)(?:" + "|".join(map(re.escape, stop)) + ").*$", "")
-        out = out.withColumns({"done": F.col("done") | held, "content": F.when(held, inner).otherwise(F.col("content"))})
     if most is not None:
         nth = F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))
         out = out.withColumn("_n", nth).filter(F.col("_n") <= most).withColumn("done", F.col("done") | (F.col("_n") == most)).drop("_n")
+    if stop:
+        whole = out.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content", "done"))).alias("_c"))
+        last = F.array_min(F.transform(F.filter("_c", lambda x: x["done"]), lambda x: x["seq"]))
+        whole = whole.withColumn("_c", F.filter("_c", lambda x: last.isNull() | (x["seq"] <= last)))
+        text = F.array_join(F.transform("_c", lambda x: x["content"]), "")
+        at = [F.nullif(F.instr(text, s), F.lit(0)) for s in dict.fromkeys(stop) if s]
+        whole = whole.withColumn("_at", F.least(*at, F.lit(None).cast("int")) - 1)
+        each = whole.select("request_id", "_at", F.explode("_c").alias("_x")).select("request_id", "_at", "_x.*")
+        begin = F.coalesce(F.sum(F.length("content")).over(Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        each = each.withColumn("_begin", begin).filter("_at is null or _begin <= _at")
+        ends = F.coalesce(F.col("_begin") + F.length("content") > F.col("_at"), F.lit(False))
+        # an empty chunk at the very place, before the one in which the stop string begins, ends nothing
+        out = each.select("request_id", "seq", F.when(ends, F.expr("substring(content, 1, cast(_at - _begin as int))")).otherwise(F.col("content")).alias("content"), (F.col("done") | ends).alias("done"))
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.runtime import materialise
 
@@ -16,6 +17,8 @@ def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """
     w = Window.partitionBy("_key").orderBy(*order)
     keyed = rows.withColumn("_key", key).filter(F.col("_key").isNotNull())
+    if isinstance(keyed.schema["_key"].dataType, StringType):
+        keyed = keyed.filter("_key <> ''")
     return keyed.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_key", "_rank")
 
 

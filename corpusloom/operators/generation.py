@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import conversations, payloads, text
 from corpusloom.operators import dedupe
+from corpusloom.runtime import once, table_path, written
 
 MIN_CHARS, ATTEMPTS, BANNED, ITEMS = 200, 3, 30, 8
 #: The shape of the exchange (fixed value).
@@ -73,28 +76,80 @@ def additional_prompts(pages: DataFrame, questions: DataFrame, template: str = A
     return pages.join(F.broadcast(banned_list(questions))).select("page", fill(template, values).alias("prompt"))
 
 
-def generate(prompts: DataFrame, model: Callable[[str], str], attempt: int) -> DataFrame:
-    """page, attempt, response, error: `model` called once for each prompt, in the tasks.
+def generate(prompts: DataFrame, model: Callable[[str], str], attempt: int, at_once: int = 1) -> DataFrame:
+    """page, attempt, response, error: `model` called once for each prompt, in the tasks, `at_once` calls at a time in each.
 
     The response is stripped; an exception is a null response and its text the error.
     """
 
+    def call(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return model(prompt).strip(), None
+        except Exception as e:  # noqa: BLE001  any failure of a model is a failed attempt
+            return None, f"{type(e).__name__}: {e}"
+
     def run(frames: Iterator) -> Iterator:
-        for frame in frames:
-            out, errors = [], []
-            for prompt in frame["prompt"]:
-                said = error = None
-                try:
-                    said = model(prompt).strip()
-                except Exception as e:  # noqa: BLE001  any failure of a model is a failed attempt
-                    error = f"{type(e).__name__}: {e}"
-                out.append(said)
-                errors.append(error)
-            yield frame.assign(attempt=attempt, response=out, error=errors)[["page", "attempt", "response", "error"]]
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                said = list(pool.map(call, frame["prompt"]))
+                yield frame.assign(attempt=attempt, response=[r for r, _ in said], error=[e for _, e in said])[["page", "attempt", "response", "error"]]
 
     return prompts.select("page", "prompt").mapInPandas(run, "page string, attempt int, response string, error string")
 
 
+def ask(prompts: DataFrame, model: Callable[[str, int], str], accept: Callable[[DataFrame], DataFrame], path: str | None = None, attempts: int = ATTEMPTS, parts: int = 1, at_once: int = 1, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Asks for every page until an attempt is accepted, `attempts` times at most; returns all responses, and the pages accepted.
+
+    prompts: page, prompt (of several rows of a page one is asked; a null prompt is not). model(prompt, attempt) is called in the
+    tasks (see generate). accept turns responses (page, attempt, response, error) into a table whose column page has
+    those that were good enough, for instance first_valid() items. The second and later attempts ask only pages that no
+    earlier one has had accepted, after `delay` seconds; they end when there are none.
+
+    Returns (page, attempt, response, error) and (page, attempt), the attempt being the accepted one.
+
+    With `path`, a folder that stays, work goes on where it ended: an attempt is written in `parts` parts, each dealt a share
+    of the pages by hash, and a part that is written isn't asked again. So a job that dies repeats the calls of one part at most.
+    Executors that are lost repeat their tasks' calls.
+    """
+    spark = prompts.sparkSession
+    folder = path or table_path(spark, "asked")
+    whole = once(prompts.filter("prompt is not null").groupBy("page").agg(F.min("prompt").alias("prompt")), f"{folder}/prompts")
+    asked, good = [], []
+    for k in range(1, attempts + 1):
+        left = whole
+        for done in good:
+            left = left.join(done.select("page"), "page", "left_anti")
+        if k > 1:
+            left = once(left, f"{folder}/left-{k}")
+            if left.isEmpty():
+                break
+            if not written(spark, f"{folder}/asked-{k}-0"):
+                time.sleep(delay)
+        now = []
+        for part in range(parts):
+            # repartitioned, so that slow calls are spread whatever files the prompts lie in
+            share = left.filter(F.pmod(F.xxhash64("page"), F.lit(parts)) == part).repartition(spark.sparkContext.defaultParallelism, "page")
+            now.append(once(generate(share, partial(_attempt, model, k), k, at_once), f"{folder}/asked-{k}-{part}"))
+        asked += now
+        good.append(once(accept(reduce(DataFrame.unionAll, now)).select("page").distinct().withColumn("attempt", F.lit(k)), f"{folder}/good-{k}"))
+    return reduce(DataFrame.unionAll, asked), reduce(DataFrame.unionAll, good)
+
+
+def _attempt(model: Callable[[str, int], str], attempt: int, prompt: str) -> str:
+    return model(prompt, attempt)
+
+
+def prepare_pages(pages: DataFrame, model: Callable[[str, int], str], path: str | None = None, patterns: Sequence[str] = conversations.BAD_PATTERNS, least: int = 4, most: int = 45, shared: int = 2, **how) -> DataFrame:
+    """The whole of preparation from pages (page, content): prompts, asking until a grounded sample is there, first question wins.
+
+    page, item, messages; `how` goes to ask(). A page that no attempt gave a valid sample for gives none.
+    """
+    responses, _ = ask(primary_prompts(pages), model, lambda r: _grounded(pages, r, patterns, least, most, shared), path, **how)
+    return prepare(pages, responses, patterns, least, most, shared)
+
+
 def progress(pages: DataFrame, responses: DataFrame, accepted: DataFrame) -> DataFrame:
     """page, attempts, items, accepted for every page: its tries, the items in them, and those that stayed; zeros where there is none."""
     tried = responses.groupBy("page").agg(F.count_distinct("attempt").alias("attempts"))
@@ -108,7 +163,7 @@ def progress(pages: DataFrame, responses: DataFrame, accepted: DataFrame) -> Dat
 
 def items_of(responses: DataFrame) -> DataFrame:
     """The responses' items, exploded: page, attempt, item (its place), messages (null where they aren't well-formed)."""
-    values = responses.withColumn("_v", payloads.strict_json(payloads.salvage(F.col("response"))))
+    values = responses.select("page", "attempt", F.explode(F.array(payloads.strict_json(payloads.salvage(F.col("response"))))).alias("_v"))
     each = values.select("page", "attempt", F.posexplode(payloads.unwrap(F.col("_v"))).alias("item", "_x"))
     return each.select("page", "attempt", "item", payloads.messages(F.col("_x")).alias("messages"))
 
@@ -125,10 +180,15 @@ def prepare(pages: DataFrame, responses: DataFrame, patterns: Sequence[str] = co
 
     pages: page, content; responses: page, attempt, response. Grounding looks at the simplified page.
     """
+    good = _grounded(pages, responses, patterns, least, most, shared)
+    return dedupe.first_wins(good.drop("_source"), conversations.question_key(F.col("messages"), collapsed=True), F.col("page"), F.col("item"))
+
+
+def _grounded(pages: DataFrame, responses: DataFrame, patterns: Sequence[str], least: int, most: int, shared: int) -> DataFrame:
+    """The valid items of each page's first attempt that has any."""
     source = pages.select("page", text.tokens(text.simplify(text.strip(F.col("content")))).alias("_source"))
     joined = items_of(responses).join(source, "page")
-    good = first_valid(joined, conversations.reject_reason(F.col("messages"), F.col("_source"), patterns, least, most, shared).isNull(), "page")
-    return dedupe.first_wins(good.drop("_source"), conversations.question_key(F.col("messages"), collapsed=True), F.col("page"), F.col("item"))
+    return first_valid(joined, conversations.reject_reason(F.col("messages"), F.col("_source"), patterns, least, most, shared).isNull(), "page")
 
 
 def augment(responses: DataFrame, seen: DataFrame) -> DataFrame:

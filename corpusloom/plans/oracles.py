@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.functions import conversations, text, urls
 from corpusloom.operators import audit, chatting, crawl, generation, sampling, training
-from corpusloom.plans.queries import ATTEMPTS, CHECKPOINTS, DOMAINS, SEEDS, STEPS
+from corpusloom.plans.queries import DOMAINS, SEEDS, STOPS
 
 #: Python's white space and line ends in RE2's syntax.
 WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
@@ -147,15 +147,8 @@ def _cut(part: str, name: str, expression: str) -> list[str]:
     return out
 
 
-def values(rows) -> str:
-    """Rows as an SQL list of values."""
-    return ", ".join("(" + ", ".join(str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else sql_text(v) for v in r) + ")" for r in rows)
-
-
 #: Lines of JSON by kind: 0 to 3 have another shape than the audit takes.
 FIRST_PAIRS = f"{SAMPLES}, pairs AS (SELECT conv_id AS doc_id, 0 AS k, texts[1] AS question, texts[2] AS answer FROM samples WHERE conv_id % 7 > 3 AND n > 1)"
-RETRIED = f"""attempts AS (SELECT * FROM (VALUES {values(ATTEMPTS)}) v(step, attempt, exit_code, timed_out) WHERE attempt <= 3),
-retried AS (SELECT step, coalesce(min(attempt) FILTER (exit_code = 0 AND NOT timed_out), max(attempt))::BIGINT AS attempts, bool_or(exit_code = 0 AND NOT timed_out) AS succeeded FROM attempts GROUP BY step)"""
 _PROMPT = {"page": "'doc ' || doc_id", "items": f"'{generation.ITEMS}'", "content": simplify(strip("text"))}
 
 SQL: dict[str, str] = {
@@ -175,16 +168,15 @@ SQL: dict[str, str] = {
     "crawl_filter": f"""
       WITH {PAGES} SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'request failed' WHEN page_id % 7 = 6 THEN 'status' WHEN page_id % 9 = 8 THEN 'content type'
         WHEN coalesce(length(text), 0) < {crawl.MIN_CHARS} THEN 'too short' END AS skip_reason FROM pages LEFT JOIN texts USING (page_id)""",
-    "crawl_order": f"""
+    "crawl_order": """
       WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
-      walks(node, level, path) AS (
-        SELECT * FROM (VALUES (0::BIGINT, 0, [0]), (7::BIGINT, 0, [1])) v(node, level, path)
-        UNION ALL
-        SELECT (node * k + 1) % n, level + 1, list_append(path, k::INT) FROM walks, range(2, 5) r(k), n WHERE level < 6),
-      least AS (SELECT node, min(level) AS level FROM walks GROUP BY node),
-      firsts AS (SELECT node, level, min(path) AS path FROM walks JOIN least USING (node, level) GROUP BY node, level)
-      SELECT node AS page_id, level::BIGINT AS level, place FROM (
-        SELECT *, row_number() OVER (ORDER BY level, path) - 1 AS place FROM firsts) WHERE place < {crawl.MAX_PAGES}""",
+      walk(node, level, place) USING KEY (node) AS (
+        SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 0::BIGINT), (7, 0, 1)) v(node, level, place)
+        UNION
+        SELECT t.node, l + 1, (SELECT max(place) FROM recurring.walk) + row_number() OVER (ORDER BY o) FROM (
+          SELECT (w.node * k + 1) % n AS node, min(w.level) AS l, min(w.place * 3 + k - 2) AS o FROM walk w, range(2, 5) r(k), n GROUP BY 1) t
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.walk v WHERE v.node = t.node))
+      SELECT node AS page_id, level, place FROM walk""",
     "doc_simplify": f"SELECT doc_id, {simplify('text')} AS simple FROM documents",
     "doc_tokens": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "doc_word_count": f"SELECT doc_id, len({words('text')})::BIGINT AS n_words FROM documents",
@@ -233,32 +225,22 @@ SQL: dict[str, str] = {
       WITH {SAMPLES}, keyed AS (SELECT conv_id::VARCHAR AS page, row_number() OVER (PARTITION BY lower({strip('texts[1]')}) ORDER BY conv_id::VARCHAR) AS nth
         FROM samples WHERE {STRUCTURAL} AND conv_id % 4 <> 3 AND lower({strip('texts[1]')}) NOT IN (SELECT lower({strip('texts[1]')}) FROM samples WHERE conv_id % 8 = 0 AND roles[1] = 'user'))
       SELECT page, 0::BIGINT AS item FROM keyed WHERE nth = 1""",
-    "checkpoint_resolve": f"""
-      SELECT coalesce(max(name) FILTER (regexp_matches(name, '^[0-9]{{6}}')), max(name)) AS checkpoint
-      FROM (VALUES {values((n,) for n in CHECKPOINTS)}) v(name) WHERE ends_with(name, '.safetensors') OR ends_with(name, '.npz')""",
-    "export_retries": f"WITH {RETRIED} SELECT step, attempts, succeeded FROM retried",
-    "export_steps": f"""
-      WITH {RETRIED}, steps AS (SELECT * FROM (VALUES {values(STEPS)}) v(step, position, required, there, tool, clean)),
-      planned AS (SELECT *, CASE WHEN there THEN 'skip' WHEN tool THEN 'run' WHEN NOT required THEN 'skip' ELSE 'stop' END AS own FROM steps),
-      ordered AS (SELECT *, CASE WHEN position > (SELECT coalesce(min(position), 99) FROM planned WHERE own = 'stop') THEN 'stop' ELSE own END AS action FROM planned),
-      ran AS (SELECT o.*, CASE action WHEN 'skip' THEN 'skipped' WHEN 'stop' THEN 'not run' ELSE CASE WHEN succeeded THEN 'succeeded' ELSE 'failed' END END AS first FROM ordered o LEFT JOIN retried USING (step)),
-      ended AS (SELECT *, CASE WHEN first <> 'skipped' AND position > (SELECT coalesce(min(position), 99) FROM ran WHERE first = 'failed' AND required) THEN 'not run' ELSE first END AS status FROM ran)
-      SELECT step, position, action, status, status = 'failed' AND clean AS clean_up FROM ended""",
     "crawl_pages": f"""
       WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
       site AS (SELECT page_id, 'http://site.test/p/' || page_id AS url, 'Page ' || page_id || chr(10) || trim(repeat('lorem ipsum ', 1 + (page_id % 11)::INT)) || chr(10) || 'go' AS text,
         CASE WHEN page_id % 5 = 4 THEN 'request failed' WHEN page_id % 7 = 6 THEN 'status' WHEN page_id % 9 = 8 THEN 'content type' END AS failed FROM pages),
       judged AS (SELECT *, coalesce(failed, CASE WHEN length(text) < {crawl.MIN_CHARS} THEN 'too short' END) AS skip_reason FROM site),
-      walks(node, level, path) AS (
-        SELECT * FROM (VALUES {', '.join(f"({p}::BIGINT, 0, ['{k}'])" for k, p in enumerate(SEEDS))}) v(node, level, path)
-        UNION ALL
-        SELECT (node * k + 1) % n, level + 1, list_append(path, '/p/' || (node * k + 1) % n) FROM walks JOIN judged ON page_id = node AND skip_reason IS NULL, range(2, 5) r(k), n WHERE level < 13),
-      least AS (SELECT node, min(level) AS level FROM walks GROUP BY node),
-      firsts AS (SELECT node, level, min(path) AS path FROM walks JOIN least USING (node, level) GROUP BY node, level),
-      placed AS (SELECT node, level, row_number() OVER (ORDER BY level, path) - 1 AS place FROM firsts)
-      SELECT url, level::BIGINT AS level, place, skip_reason, CASE WHEN skip_reason IS NULL THEN 'Page ' || node END AS title, CASE WHEN skip_reason IS NULL THEN length(text) ELSE 0 END::BIGINT AS n_chars,
+      links AS (SELECT page_id AS source, (page_id * k + 1) % n AS node, row_number() OVER (PARTITION BY page_id ORDER BY '/p/' || (page_id * k + 1) % n) AS rank
+        FROM judged, range(2, 5) r(k), n WHERE skip_reason IS NULL),
+      walk(node, level, place) USING KEY (node) AS (
+        SELECT * FROM (VALUES {', '.join(f"({p}::BIGINT, 0::BIGINT, {k}::BIGINT)" for k, p in enumerate(SEEDS))}) v(node, level, place)
+        UNION
+        SELECT t.node, l + 1, (SELECT max(place) FROM recurring.walk) + row_number() OVER (ORDER BY o) FROM (
+          SELECT x.node, min(w.level) AS l, min(w.place * 4 + rank) AS o FROM walk w JOIN links x ON x.source = w.node GROUP BY 1) t
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.walk v WHERE v.node = t.node))
+      SELECT url, level, place, skip_reason, CASE WHEN skip_reason IS NULL THEN 'Page ' || node END AS title, CASE WHEN skip_reason IS NULL THEN length(text) ELSE 0 END::BIGINT AS n_chars,
         CASE WHEN skip_reason IS NULL THEN 'p-' || node || '.txt' END AS text_file
-      FROM placed JOIN judged ON page_id = node WHERE place < {crawl.MAX_PAGES}""",
+      FROM walk JOIN judged ON page_id = node""",
     "page_names": f"SELECT page_id, replace({SLUG}, '-', ' ') AS page FROM pages",
     "mix_datasets": f"""
       WITH {PAIRS}, {SAMPLES}, both_files AS (SELECT *, 0 AS file FROM pairs WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM pairs),
@@ -291,6 +273,15 @@ SQL: dict[str, str] = {
     "chat_chunks": """
       WITH words AS (SELECT conv_id * 1000 + turn AS request_id, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant')
       SELECT request_id, array_to_string((CASE WHEN request_id % 7 = 0 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END)[1:20], ' ') AS response FROM words""",
+    "chat_stops": f"""
+      WITH said AS (SELECT conv_id * 1000 + turn AS request_id, text FROM conversations WHERE role = 'assistant' AND text <> ''),
+      found AS (SELECT *, least({', '.join(f"nullif(instr(text, {sql_text(x)}), 0)" for x in STOPS)}) AS at FROM said)
+      SELECT request_id, CASE WHEN at IS NULL THEN text ELSE left(text, at - 1) END AS response FROM found""",
+    "generation_attempts": f"""
+      WITH asked AS (SELECT 'doc ' || doc_id AS page FROM documents WHERE length({strip('text')}) >= {generation.MIN_CHARS}),
+      drawn AS (SELECT page, k, ('0x' || left(md5(page || ':' || k), 1))::INT AS d FROM asked, range(1, 4) r(k)),
+      firsts AS (SELECT page, min(k) FILTER (d >= 10) AS accepted FROM drawn GROUP BY page)
+      SELECT page, count(*) AS attempts, count(*) FILTER (d < 4) AS errors, any_value(accepted) AS accepted FROM drawn JOIN firsts USING (page) WHERE accepted IS NULL OR k <= accepted GROUP BY page""",
     "chat_histories": """
       WITH asked AS (SELECT conv_id, turn, length(text)::VARCHAR AS said, turn % 3 = 0 AS down FROM conversations WHERE role = 'user')
       SELECT conv_id, turn, said AS tuned_response, 'ok' AS tuned_status, count(*) OVER w - 1 AS tuned_history, CASE WHEN NOT down THEN said END AS base_response,

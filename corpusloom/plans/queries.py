@@ -18,6 +18,8 @@ from corpusloom.plans.fixtures import table
 DOMAINS = ("spam-farm.example.org", "ththre.example.com", "therha.example.com")
 #: Pages that the crawl query begins at, fewer than ten; of every fixture there are more pages.
 SEEDS = (0, 7, 13, 20, 26, 31, 37, 42, 46)
+#: Strings that end an answer in the query of stop strings.
+STOPS = ("er the", "tion ", "e a", "en d")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -100,7 +102,7 @@ def crawl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(0, 0), (7, 1)], "node long, rank long")
-    found = crawl.breadth_first(seeds, fixtures.edges(spark, sf_dir), most=crawl.MAX_PAGES)
+    found = crawl.breadth_first(seeds, fixtures.edges(spark, sf_dir), most=None)
     return found.select(F.col("node").alias("page_id"), F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
 
 
@@ -108,7 +110,7 @@ def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl from seeds to records over an archive of responses; failed pages count and give no links."""
     seeds = web.seed_table(spark, [f"http://site.test/p/{k}/?x#y" for k in (*SEEDS, *SEEDS[:2])])
-    found = crawl.crawl(seeds, web.archive(fixtures.archive(spark, sf_dir)), ["site.test"])
+    found = crawl.crawl(seeds, web.archive(fixtures.archive(spark, sf_dir)), ["site.test"], most=None)
     return found.select("url", F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"), "skip_reason", "title", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n_chars"), "text_file")
 
 
@@ -363,30 +365,31 @@ def augment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.augment(responses, generation.seen_questions(fixtures.samples(spark, sf_dir).filter("conv_id % 8 = 0"))).select("page", F.col("item").cast("long").alias("item"))
 
 
-# artifacts
+def drawn_answer(prompt: str, attempt: int) -> str:
+    """What a model might say, drawn by the page's name and the attempt: an error, no JSON, an item that isn't valid, or a good one."""
+    import hashlib
+    import re
 
-CHECKPOINTS = ("0000200_adapters.safetensors", "0000400_adapters.safetensors", "adapters.safetensors", "0000600_adapters.npz", "config.json")
-#: step, position, required, exists, tool_exists, clean_on_failure
-STEPS = (("validate", 0, True, True, True, False), ("merge", 1, True, False, True, True), ("convert", 2, True, False, True, False), ("quantise", 3, False, False, False, False))
-#: step, attempt, exit_code, timed_out
-ATTEMPTS = (("merge", 1, 1, False), ("merge", 2, 0, True), ("merge", 3, 0, False), ("merge", 4, 1, False), ("convert", 1, 2, False), ("convert", 2, 2, False))
+    page = re.search(r"Page: (.*)", prompt)[1]
+    drawn = int(hashlib.md5(f"{page}:{attempt}".encode()).hexdigest()[0], 16)
+    if drawn < 4:
+        raise ValueError("no answer")
+    if drawn < 7:
+        return "Sorry."
+    return '{"items": [{"messages": [{"role": "user", "content": "Which page?"}, {"role": "assistant", "content": "%s"}]}]}' % ("" if drawn < 10 else f"It is {page}.")
 
 
 @query
-def checkpoint_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.latest_checkpoint(spark.createDataFrame([(n,) for n in CHECKPOINTS], "name string"))
-
-
-@query
-def export_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = spark.createDataFrame(list(STEPS), "step string, position int, required boolean, exists boolean, tool_exists boolean, clean_on_failure boolean")
-    runs = training.retried(spark.createDataFrame(list(ATTEMPTS), "step string, attempt int, exit_code int, timed_out boolean"))
-    return training.export_outcome(training.export_plan(steps), runs)
+def generation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages asked until an answer has a valid sample, three times at most: their attempts, errors, and the one accepted."""
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id")).alias("page"), F.col("text").alias("content"))
 
+    def accept(responses: DataFrame) -> DataFrame:
+        return generation.items_of(responses).filter(conversations.structural(F.col("messages")).isNotNull())
 
-@query
-def export_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.retried(spark.createDataFrame(list(ATTEMPTS), "step string, attempt int, exit_code int, timed_out boolean"))
+    responses, good = generation.ask(generation.primary_prompts(pages), drawn_answer, accept, parts=2, at_once=4)
+    each = responses.groupBy("page").agg(F.count("*").alias("attempts"), F.count("error").alias("errors"))
+    return each.join(good.select("page", F.col("attempt").cast("long").alias("accepted")), "page", "left").select("page", "attempts", "errors", "accepted")
 
 
 # chat
@@ -416,6 +419,15 @@ def chat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatting.accumulate(chatting.stream_chunks(lines, most=20))
 
 
+@query
+def chat_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn as streamed lines of three characters, ended by stop strings that lie over them."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+    cut = turns.select("request_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(.{1,3})"), F.lit(1))).alias("seq", "content"))
+    lines = cut.select("request_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(F.struct("content").alias("message"))).alias("line"))
+    return chatting.accumulate(chatting.stream_chunks(lines, STOPS))
+
+
 @query
 def chat_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models over each conversation's prompts: one repeats the prompt's length, one fails at every third turn."""

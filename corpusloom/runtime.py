@@ -115,3 +115,64 @@ def gapless(rows: DataFrame, group: str, bucket_key: Column, order: list[Column]
     # groups x buckets rows at most, whatever the number of records: a proven bound for the broadcast
     joined = numbered.join(F.broadcast(offsets), (F.col(group) == F.col(whose)) & (F.col(bucket) == F.col(total)))
     return joined.withColumn(out, (F.col(offset) + F.col(inner)).cast("long")).drop(bucket, total, offset, inner, whose)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to the end at path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")  # noqa: SLF001
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)  # noqa: SLF001
+
+
+def once(df: DataFrame, path: str) -> DataFrame:
+    """materialise() at a place of its own; what an earlier run has written to the end there is read, not made again."""
+    spark = df.sparkSession
+    if not written(spark, path):
+        delete(spark, path)
+        materialise(df, path=path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ordinals(rows: DataFrame, key: str, order: list[Column], out: str, width: int = 4096) -> DataFrame:
+    """Adds `out`: each row's number, from 0 without gaps, in the order of (key, order).
+
+    key: a column of longs from 0, of which only a bounded number of rows are equal (the links of one page). Rows are
+    numbered inside stretches of `width` keys, stretches inside groups of `width` of them; the driver sees
+    one row for each group, that is for width x width keys. No window is without a partition. `rows` is read twice.
+    """
+    stretch, group, inside, before = (f"_{n}_{uuid.uuid4().hex[:12]}" for n in ("stretch", "group", "inside", "before"))
+    dealt = rows.withColumn(stretch, F.expr(f"{key} div {width}"))
+    counts = dealt.groupBy(F.col(stretch).alias(group)).agg(F.count("*").alias(inside)).withColumnRenamed(group, before)
+    counts = counts.withColumn(group, F.expr(f"{before} div {width}"))
+    total, sums = 0, []
+    for g, n in sorted(tuple(r) for r in counts.groupBy(group).agg(F.sum(inside)).collect()):
+        sums.append((g, total))
+        total += n
+    if not sums:
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    starts = rows.sparkSession.createDataFrame(sums, f"{group} long, _start long")
+    up_to = Window.partitionBy(group).orderBy(before).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(inside, F.coalesce(F.sum(inside).over(up_to), F.lit(0))).join(F.broadcast(starts), group)
+    offsets = offsets.select(F.col(before).alias(group), (F.col(inside) + F.col("_start")).alias(before))
+    numbered = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(stretch).orderBy(key, *order)) - 1)
+    joined = numbered.join(offsets, F.col(stretch) == F.col(group))
+    return joined.withColumn(out, (F.col(inside) + F.col(before)).cast("long")).drop(stretch, group, inside, before)
+
+
+#: Bits of the filter in front of an anti join, however many keys there are.
+SEEN_BITS = 1 << 24
+
+
+def unseen(rows: DataFrame, key: str, seen: DataFrame, seen_key: str) -> DataFrame:
+    """Rows whose key isn't in seen: an anti join behind a filter of fixed size.
+
+    Each seen key sets one of SEEN_BITS bits, broadcast as at most SEEN_BITS / 64 rows; a row whose bit isn't set is new
+    without a shuffle, only the others go through the join. Both tables are read twice; where rows end in a shuffle, Spark
+    makes it once for both readings. Null keys are never seen.
+    """
+    word, bits, slot = (f"_{n}_{uuid.uuid4().hex[:12]}" for n in ("word", "bits", "slot"))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SEEN_BITS))
+    words = seen.select(place(seen_key).alias(slot)).groupBy(F.expr(f"{slot} div 64").alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int)))").alias(bits))
+    looked = rows.withColumn(slot, place(key)).join(F.broadcast(words), F.expr(f"{slot} div 64 = {word}"), "left")
+    looked = looked.withColumn(slot, F.coalesce(F.expr(f"bit_get({bits}, cast({slot} % 64 as int))"), F.lit(0))).drop(word, bits)
+    maybe = looked.filter(F.col(slot) == 1).drop(slot).join(seen.select(F.col(seen_key).alias(word)), F.col(key) == F.col(word), "left_anti")
+    return looked.filter(F.col(slot) == 0).drop(slot).unionByName(maybe)

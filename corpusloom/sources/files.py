@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import urllib.parse
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from corpusloom.functions import conversations, payloads, text
-from corpusloom.runtime import delete, table_path
 
 
 def text_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,7 +34,8 @@ def parse_lines(lines: DataFrame, strict: bool = True, blank: str = "skip") -> D
     if blank not in ("skip", "error"):
         raise ValueError("blank must be skip or error")
     rows = lines.filter(text.strip(F.col("line")) != "") if blank == "skip" else lines
-    parsed = rows.withColumn("value", payloads.strict_json(F.col("line")))
+    # through a generator, so that a filter on the value doesn't parse the line again
+    parsed = rows.select(*[c for c in rows.columns if c != "value"], F.explode(F.array(payloads.strict_json(F.col("line")))).alias("value"))
     if strict:
         return parsed.withColumn("value", F.when(F.col("value").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.col("line"))).cast("variant")).otherwise(F.col("value")))
     return parsed.filter("value is not null")
@@ -87,29 +90,80 @@ def write_json_lines(rows: DataFrame, path: str, by: list[str] | None = None, as
         rows.write.mode("overwrite").partitionBy(*by).json(path)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
+class _PageFiles(DataSource):
+    """A sink of one file for each row (text_file, value) in the folder `path`, of any file system that Arrow knows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "page_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _PageFilesWriter(self.options["path"])
+
+
+class _PageFilesWriter(DataSourceWriter):
+    """Tasks write the files under other names and rename them; an abort removes what tasks have renamed."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _folder(self):
+        from pyarrow import fs
+
+        at = self.path if "://" in self.path or ":/" not in self.path else self.path.replace(":/", ":///", 1)
+        return fs.FileSystem.from_uri(at) if ":" in at.split("/")[0] else (fs.LocalFileSystem(), at)
+
+    def write(self, rows: Iterator) -> _Written:
+        files, folder = self._folder()
+        files.create_dir(folder, recursive=True)
+        names: list[str] = []
+        try:
+            for row in rows:
+                hidden = f"{folder}/.{uuid.uuid4().hex}"
+                try:
+                    with files.open_output_stream(hidden) as out:
+                        out.write(row.value.encode())
+                    files.move(hidden, f"{folder}/{row.text_file}")
+                except BaseException:
+                    _remove(files, hidden)
+                    raise
+                names.append(row.text_file)
+        except BaseException:
+            for name in names:
+                _remove(files, f"{folder}/{name}")
+            raise
+        return _Written(names)
+
+    def abort(self, messages: list) -> None:
+        files, folder = self._folder()
+        for message in messages:
+            for name in message.names if message else []:
+                _remove(files, f"{folder}/{name}")
+
+
+def _remove(files, path: str) -> None:
+    try:
+        files.delete_file(path)
+    except OSError:
+        pass
+
+
 def write_pages(files: DataFrame, path: str) -> None:
-    """One UTF-8 file, named by text_file, for each (text_file, value); of equal names the last in order of value stays.
+    """One UTF-8 file, named by text_file, for each text_file of (text_file, value, place).
 
-    The texts are written by tasks, one part file for each name; the driver then only moves those to their names.
+    Of equal names the value with the greatest place stays, as when pages are written in the order of a crawl; without a
+    column place, the greatest value. That is decided before anything is written, so every file has one writer, and a task
+    that is repeated writes the same files again. If the job fails, the files that it has written are removed.
     """
-    spark = files.sparkSession
-    # Spark ends every text with a line feed, so a text's own last one is left to it
-    last = files.groupBy("text_file").agg(F.regexp_replace(F.max("value"), "\\n$", "").alias("value"))
-    parts = table_path(spark, "pages")
-    last.repartition("text_file").write.partitionBy("text_file").text(parts)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
-    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-    source, target = hadoop.Path(parts), hadoop.Path(path)
-    fs, to = source.getFileSystem(conf), target.getFileSystem(conf)
-    to.mkdirs(target)
-    listed = fs.listFiles(source, True)
-    while listed.hasNext():
-        part = listed.next().getPath()
-        if not part.getName().startswith("part-"):
-            continue
-        name = urllib.parse.unquote(part.getParent().getName().removeprefix("text_file="))
-        hadoop.FileUtil.copy(fs, part, to, hadoop.Path(target, name), True, True, conf)
-    delete(spark, parts)
+    order = "place" if "place" in files.columns else "value"
+    last = files.groupBy("text_file").agg(F.max_by("value", order).alias("value"))
+    files.sparkSession.dataSource.register(_PageFiles)
+    last.write.format("page_files").mode("append").option("path", path).save()
 
 
 def json_array(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -21,11 +21,13 @@ def seed_table(spark: SparkSession, seeds: list[str]) -> DataFrame:
     return spark.createDataFrame([(u, k) for k, u in enumerate(seeds)], "url string, rank int")
 
 
-def http(timeout: float = TIMEOUT, headers: dict[str, str] | None = None, delay: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+def http(timeout: float = TIMEOUT, headers: dict[str, str] | None = None, delay: float = 0.0, tasks: int = 64) -> Callable[[DataFrame], DataFrame]:
     """A fetch over HTTP in the tasks, redirects followed; the requested URL stays the page's URL.
 
     A request that fails gives its error and no status; an answer with another status than 200 is no
-    error. Every task waits `delay` seconds after each request.
+    error. Hosts are dealt to `tasks` tasks, so they are asked in parallel; a host is asked from one task only,
+    one page at a time, and not before `delay` seconds after its last answer. A task takes its hosts in turn, so that one's
+    pause is used for the others.
     """
     sent = HEADERS | (headers or {})
 
@@ -34,10 +36,12 @@ def http(timeout: float = TIMEOUT, headers: dict[str, str] | None = None, delay:
         import urllib.error
         import urllib.request
 
-        opener = urllib.request.build_opener()
+        opener, ready = urllib.request.build_opener(), {}
         for frame in frames:
             rows = []
-            for url in frame["url"]:
+            turn = frame.groupby("_host", dropna=False).cumcount()
+            for url, host in frame.assign(_turn=turn).sort_values("_turn", kind="stable")[["url", "_host"]].itertuples(index=False):
+                time.sleep(max(0.0, ready.get(host, 0.0) - time.monotonic()))
                 error = status = kind = body = None
                 try:
                     with opener.open(urllib.request.Request(url, headers=sent), timeout=timeout) as answer:
@@ -48,10 +52,10 @@ def http(timeout: float = TIMEOUT, headers: dict[str, str] | None = None, delay:
                 except Exception as e:  # noqa: BLE001  any failure of a request is that page's error
                     error = f"{type(e).__name__}: {e}"
                 rows.append((url, error, status, kind, body))
-                time.sleep(delay)
+                ready[host] = time.monotonic() + delay
             yield pd.DataFrame(rows, columns=["url", "error", "status", "content_type", "html"]).astype({"status": "Int32"})
 
-    return lambda frontier: frontier.select("url").mapInPandas(run, RESPONSES)
+    return lambda frontier: frontier.select("url", F.coalesce(urls.netloc(F.col("url")), F.lit("")).alias("_host")).repartition(tasks, "_host").mapInPandas(run, RESPONSES)
 
 
 def archive(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -62,8 +66,7 @@ def archive(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     known = pages.withColumn("_key", urls.normalize(F.col("url"))).drop("url")
 
     def fetch(frontier: DataFrame) -> DataFrame:
-        # a frontier has as many rows as a crawl has pages at most, so it is the small side whatever the archive
-        found = known.join(F.broadcast(frontier.select("url")), F.col("_key") == F.col("url")).dropDuplicates(["url"])
+        found = known.join(frontier.select("url"), F.col("_key") == F.col("url")).dropDuplicates(["url"])
         lost = frontier.select("url").join(found.select("url"), "url", "left_anti").select("url", F.lit("not in the archive").alias("error"))
         return found.select("url", "error", F.col("status").cast("int").alias("status"), "content_type", "html").unionByName(lost, allowMissingColumns=True)
 

@@ -159,3 +159,9 @@ def test_split_sizes_and_compat(spark):
         assert counts == {"train": 90, "valid": 11}
     got = sorted(r.k for r in sampling.sample_exact(rows, "k", 7, mode="compat").collect())
     assert got == sorted(random.Random(42).sample(range(101), 7))
+
+
+def test_json_as_python_reads_it(spark):
+    cases = ['{"a":1,"a":2}', '{"a":NaN}', '[-Infinity]', '{"a":{"b":1,"b":"x"}}', '{"a":1,"a":', "NaN", "nan", '{"a":1} {"a":2}', None]
+    got = column(spark, cases, lambda c: F.to_json(payloads.strict_json(c)))
+    assert got == ['{"a":2}', '{"a":null}', "[null]", '{"a":{"b":"x"}}', None, "null", None, None, None]

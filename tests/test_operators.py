@@ -4,9 +4,12 @@ import datetime
 import json
 
 import pytest
-
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom import runtime
+from corpusloom.plans.queries import QUERIES
 from corpusloom.operators import audit, chatting, crawl, dedupe, generation, sampling, training
 from corpusloom.sources import files, web
 from corpusloom.streaming.accumulate import accumulate_stream
@@ -262,3 +265,245 @@ def test_crawl_order_walks_sparse_links_to_the_end(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(fixtures, "edges", lambda *_: spark.createDataFrame(chain, "source long, target long, rank long"))
     got = {r.page_id: r.level for r in queries.crawl_order(spark, sf_dir).collect()}
     assert got == {0: 0} | {k: k - 7 for k in range(7, 28)}
+
+
+def test_repeated_keys_in_files(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a":1,"a":2}\n{"a":NaN}\n\n{"a":3}\n')
+    for strict in (True, False):
+        got = files.json_lines(spark, str(tmp_path / "x.jsonl"), strict).select(F.try_variant_get("value", "$.a", "int").alias("a")).collect()
+        assert [r.a for r in got] == [2, None, 3]
+
+
+def test_each_page_is_parsed_once(spark, sf_dir):
+    for name in ("page_text", "page_records", "tolerant_questions"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
+
+
+def test_empty_keys_go(spark):
+    rows = spark.createDataFrame([("", 1), (None, 2), ("a", 3), ("a", 4)], "q string, k int")
+    assert [r.k for r in dedupe.first_wins(rows, F.col("q"), F.col("k")).collect()] == [3]
+
+
+def test_ordinals_in_small_stretches(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(r.randrange(60), k) for k in range(300)]
+    got = runtime.ordinals(spark.createDataFrame(rows, "p long, k long").repartition(5), "p", [F.col("k").desc()], "at", width=3)
+    expected = sorted(rows, key=lambda x: (x[0], -x[1]))
+    assert [(x.p, x.k) for x in got.orderBy("at").collect()] == expected
+    assert [x.at for x in got.orderBy("at").collect()] == list(range(300))
+    assert runtime.ordinals(spark.createDataFrame([], "p long"), "p", [], "at").count() == 0
+
+
+def test_unseen_is_an_anti_join(spark, monkeypatch):
+    rows, seen = spark.range(100).selectExpr("id k"), spark.range(0, 100, 3).selectExpr("id s")
+    for bits in (64, 1 << 24):
+        monkeypatch.setattr(runtime, "SEEN_BITS", bits)
+        assert sorted(r.k for r in runtime.unseen(rows, "k", seen, "s").collect()) == [k for k in range(100) if k % 3]
+
+
+def test_walk_without_a_limit_has_no_global_window(spark, tmp_path, caplog):
+    links = {k: [(k * m + 1) % 500 for m in (2, 3, 4)] for k in range(500)}
+    edges = spark.createDataFrame([(s, t, k) for s, ts in links.items() for k, t in enumerate(ts)], "source long, target long, rank int")
+    seeds = spark.createDataFrame([(5, 0), (9, 1)], "node long, rank int")
+    got = [r.node for r in crawl.breadth_first(seeds, edges, None).orderBy("place").collect()]
+    assert got == queue_crawl([5, 9], links, 10**6)
+
+
+def test_walk_goes_on_behind_its_last_level(spark, tmp_path):
+    edges = spark.createDataFrame([(k, k + 1, 0) for k in range(6)], "source long, target long, rank int")
+    seeds = spark.createDataFrame([(0, 0)], "node long, rank int")
+    crawl.breadth_first(seeds, edges, None, levels=2, path=str(tmp_path / "w"))
+    # links of levels that are written aren't read again: here they have gone
+    later = edges.filter("source >= 2")
+    assert [r.node for r in crawl.breadth_first(seeds, later, None, path=str(tmp_path / "w")).orderBy("place").collect()] == list(range(7))
+
+
+def test_hosts_in_parallel_and_at_a_pace(spark):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            calls.append((self.server.server_port, time.monotonic(), self.path))
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(b"<p>x</p>")
+
+        def log_message(self, *_):
+            pass
+
+    servers = [ThreadingHTTPServer(("127.0.0.1", 0), Handler) for _ in range(2)]
+    for server in servers:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = [(f"http://127.0.0.1:{s.server_port}/{k}",) for s in servers for k in range(4)]
+    for tasks in (1, 16):
+        calls.clear()
+        began = time.monotonic()
+        got = web.http(delay=0.4, tasks=tasks)(spark.createDataFrame(rows, "url string")).collect()
+        assert sorted(r.url for r in got if r.status == 200) == sorted(u for (u,) in rows)
+        assert sorted(c[2] for c in calls) == sorted(f"/{k}" for k in range(4) for _ in servers)
+        for server in servers:
+            at = sorted(t for port, t, _ in calls if port == server.server_port)
+            assert all(b - a >= 0.39 for a, b in zip(at, at[1:], strict=False))
+        # each server's three pauses pass at the same time as the other's
+        assert max(t for _, t, _ in calls) - min(t for _, t, _ in calls) < 2.4 or time.monotonic() - began > 10
+    for server in servers:
+        server.shutdown()
+
+
+def test_of_equal_names_the_last_page_stays(spark, tmp_path):
+    rows = [("x.txt", "zzz first", 0), ("x.txt", "aaa second", 7), ("y.txt", "y\n", 3)]
+    files.write_pages(spark.createDataFrame(rows, "text_file string, value string, place int").repartition(3), str(tmp_path / "p"))
+    assert {p.name: p.read_text() for p in (tmp_path / "p").iterdir()} == {"x.txt": "aaa second", "y.txt": "y\n"}
+    records = spark.createDataFrame([("https://h/a", "T", "old", "a.txt", 1), ("https://h/a", "T", "new", "a.txt", 4)], "url string, title string, content string, text_file string, place int")
+    files.write_pages(crawl.page_file(records), f"file:{tmp_path}/q")
+    assert (tmp_path / "q/a.txt").read_text() == "T\nURL: https://h/a\n\nnew\n"
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k}.txt", f"{k}") for k in range(8)], "text_file string, value string")
+    bad = rows.withColumn("value", F.when(F.col("text_file") == "5.txt", F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="broken"):
+        files.write_pages(bad.repartition(8), str(tmp_path / "p"))
+    bad = rows.unionAll(spark.createDataFrame([("no/such/folder/x.txt", "x")], rows.schema))
+    with pytest.raises(Exception):  # noqa: B017
+        files.write_pages(bad, str(tmp_path / "p"))
+    assert not (tmp_path / "p").exists() or not list((tmp_path / "p").iterdir())
+
+
+def test_stop_strings_over_chunks(spark):
+    cases = {1: ["hello ST", "OP more"], 2: ["ab", "c", "", "d"], 3: ["STO", "PX"], 4: ["x", "STOP"], 5: ["a ST", "O"], 6: ["S", "T", "O", "P"], 7: [], 8: ["e", "N", "D", "STOP"]}
+    rows = [(i, k, json.dumps({"message": {"content": c}, "done": False})) for i, cs in cases.items() for k, c in enumerate(cs)]
+    lines = spark.createDataFrame(rows, "request_id long, seq long, line string")
+    chunks = chatting.stream_chunks(lines, ["STOP", "END"])
+    got = {r.request_id: r.response for r in chatting.accumulate(chunks).collect()}
+    assert got == {1: "hello ", 2: "abcd", 3: "", 4: "x", 5: "a STO", 6: "", 8: "eNDSTOP".partition("STOP")[0]}
+    assert [(r.seq, r.content, r.done) for r in chunks.filter("request_id = 1").collect()] == [(0, "hello ", True)]
+
+
+def test_a_token_cap_comes_before_stop_strings(spark):
+    rows = [(1, k, json.dumps({"message": {"content": c}})) for k, c in enumerate(["a", " S", "TOP"])]
+    lines = spark.createDataFrame(rows, "request_id long, seq long, line string")
+    assert chatting.accumulate(chatting.stream_chunks(lines, ["STOP"], most=2)).first().response == "a S"
+
+
+@settings(max_examples=300, deadline=None)
+@given(stops=st.lists(st.text("abc", min_size=1, max_size=4), max_size=4), chunks=st.lists(st.text("abcd", max_size=6), max_size=8))
+def test_what_is_held_back(stops, chunks):
+    from corpusloom.streaming.answers import StopStrings
+
+    automaton, held, out, ended = StopStrings(stops), "", "", False
+    for c in chunks:
+        if ended:
+            break
+        safe, held, ended = automaton.read(held, c)
+        out += safe
+        assert len(held) <= 2 * max(map(len, stops), default=0)
+    if not ended:
+        out += automaton.finish(held)
+    whole = "".join(chunks)
+    found = [whole.find(s) for s in stops if s in whole]
+    assert out == (whole[: min(found)] if found else whole)
+
+
+def test_stream_of_lines_holds_back_stop_strings(spark, tmp_path):
+    from corpusloom.runtime import configured
+    from corpusloom.streaming.answers import STORE, stream_answers
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    said = {1: ["hello ST", "OP more", "!"], 2: ["a", " user", " b"], 3: ["x ", "us", "er: y"], 4: ["late"]}
+    line = lambda i, k, done=False: json.dumps({"request_id": i, "seq": k, "line": json.dumps({"message": {"content": said[i][k]}, "done": done})})
+    batches = [[line(1, 0), line(2, 1), line(3, 0)], [line(2, 0), line(3, 2), line(1, 1), line(1, 1)], [line(2, 2, True), line(3, 1), line(1, 2, True)], [line(4, 0), line(1, 2)]]
+    stops = ["STOP", "user:"]
+    schema = "request_id long, seq long, line string"
+    with configured(spark, STORE | {"spark.sql.shuffle.partitions": "2"}):
+        answers = stream_answers(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)), stops)
+        for k, rows in enumerate(batches):  # a query of one batch each, that goes on from the last one's state
+            (folder / f"{k}.json").write_text("\n".join(rows))
+            q = answers.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+            try:
+                assert q.awaitTermination(60)
+            finally:
+                q.stop()
+    got = {}
+    for r in spark.read.schema("request_id long, piece long, content string, done boolean").json(str(tmp_path / "out")).orderBy("request_id", "piece").collect():
+        got.setdefault(r.request_id, []).append((r.content, r.done))
+    assert {k: "".join(c for c, _ in v) for k, v in got.items()} == {1: "hello ", 2: "a user b", 3: "x ", 4: "late"}
+    assert got[1][0] == ("hello ", False)  # given on before the stop string has ended
+    assert [v[-1][1] for _, v in sorted(got.items())] == [True, True, True, False]
+    batch = chatting.accumulate(chatting.stream_chunks(spark.read.schema(schema).json(str(folder)).dropDuplicates(["request_id", "seq"]), stops))
+    assert {r.request_id: r.response for r in batch.collect()} == {k: "".join(c for c, _ in v) for k, v in got.items()}
+
+
+def asker(log, dies=None):
+    """A model that notes its calls in files, is never good for page c, and for b at the second attempt."""
+
+    def model(prompt, attempt):
+        import os
+        import uuid
+
+        if dies and os.path.exists(dies) and prompt == "p e":
+            os._exit(1)
+        open(f"{log}/{prompt[2]}-{attempt}-{uuid.uuid4().hex}", "w").close()
+        if prompt == "p d" and attempt == 1:
+            raise ValueError("no answer")
+        return "good" if prompt in ("p a", "p e") or (prompt in ("p b", "p d") and attempt == 2) else "bad"
+
+    return model
+
+
+def test_asking_until_accepted(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    prompts = spark.createDataFrame([(p, f"p {p}") for p in "abcde"] + [("a", "p a"), ("z", None)], "page string, prompt string")
+    accept = lambda r: r.filter("response = 'good'")
+    for _ in range(2):  # a second run asks nothing
+        responses, good = generation.ask(prompts, asker(str(log)), accept, path=str(tmp_path / "asked"), parts=2, at_once=3)
+        assert sorted((r.page, r.attempt) for r in good.collect()) == [("a", 1), ("b", 2), ("d", 2), ("e", 1)]
+        assert sorted((r.page, r.attempt, r.response, r.error) for r in responses.filter("page in ('c', 'd')").collect()) == [("c", 1, "bad", None), ("c", 2, "bad", None), ("c", 3, "bad", None), ("d", 1, None, "ValueError: no answer"), ("d", 2, "good", None)]
+        assert sorted(p.name[:3] for p in log.iterdir()) == ["a-1", "b-1", "b-2", "c-1", "c-2", "c-3", "d-1", "d-2", "e-1"]
+
+
+def test_asking_goes_on_after_a_lost_job(spark, tmp_path):
+    log, dies = tmp_path / "log", tmp_path / "dies"
+    log.mkdir()
+    dies.touch()
+    prompts = spark.createDataFrame([(p, f"p {p}") for p in "abcde"], "page string, prompt string")
+    accept = lambda r: r.filter("response = 'good'")
+    with pytest.raises(Exception):  # noqa: B017
+        generation.ask(prompts, asker(str(log), str(dies)), accept, path=str(tmp_path / "asked"), parts=16)
+    before = {p.parent.name for p in (tmp_path / "asked").glob("asked-1-*/_SUCCESS")}
+    kept = {r.page for x in before for r in spark.read.parquet(str(tmp_path / "asked" / x)).collect()}
+    dies.unlink()
+    for p in log.iterdir():
+        p.unlink()
+    _, good = generation.ask(prompts, asker(str(log), str(dies)), accept, path=str(tmp_path / "asked"), parts=16)
+    assert sorted(r.page for r in good.collect()) == ["a", "b", "d", "e"]
+    again = [p.name[:3] for p in log.iterdir()]
+    assert not {f"{p}-1" for p in kept} & set(again) and len(again) == len(set(again))
+
+
+def test_no_pages_to_ask(spark):
+    none = spark.createDataFrame([], "page string, prompt string")
+    responses, good = generation.ask(none, asker("/nowhere"), lambda r: r)
+    assert responses.count() == 0 and good.count() == 0
+
+
+def test_preparing_pages_with_a_model(spark):
+    content = "The museum of clocks in Ravensburg opened in 1954 and shows four hundred clocks from nine countries. " * 3
+    item = {"messages": [{"role": "user", "content": "When did the museum of clocks open?"}, {"role": "assistant", "content": "The museum of clocks in Ravensburg opened in 1954."}]}
+
+    def model(prompt, attempt):
+        return "sorry" if attempt == 1 else f"Here: {json.dumps({'items': [item]})}"
+
+    pages = spark.createDataFrame([("one", content), ("two", content), ("short", "too short")], "page string, content string")
+    got = generation.prepare_pages(pages, model).collect()
+    assert [(r.page, r.item, r.messages[1].content) for r in got] == [("one", 0, item["messages"][1]["content"])]
