@@ -275,13 +275,13 @@ SQL: dict[str, str] = {
       SELECT request_id, array_to_string((CASE WHEN request_id % 7 = 0 AND len(w) > 1 THEN w[1:len(w) - 1] ELSE w END)[1:20], ' ') AS response FROM words""",
     "chat_stops": f"""
       WITH said AS (SELECT conv_id * 1000 + turn AS request_id, text FROM conversations WHERE role = 'assistant' AND text <> ''),
-      found AS (SELECT *, least({', '.join(f"nullif(instr(text, {sql_text(x)}), 0)" for x in STOPS)}) AS at FROM said)
-      SELECT request_id, CASE WHEN at IS NULL THEN text ELSE left(text, at - 1) END AS response FROM found""",
+      found AS (SELECT *, least({', '.join(f"nullif(instr(text, {sql_text(x)}), 0)" for x in STOPS)}) AS cut FROM said)
+      SELECT request_id, CASE WHEN cut IS NULL THEN text ELSE left(text, cut - 1) END AS response FROM found""",
     "generation_attempts": f"""
       WITH asked AS (SELECT 'doc ' || doc_id AS page FROM documents WHERE length({strip('text')}) >= {generation.MIN_CHARS}),
       drawn AS (SELECT page, k, ('0x' || left(md5(page || ':' || k), 1))::INT AS d FROM asked, range(1, 4) r(k)),
       firsts AS (SELECT page, min(k) FILTER (d >= 10) AS accepted FROM drawn GROUP BY page)
-      SELECT page, count(*) AS attempts, count(*) FILTER (d < 4) AS errors, any_value(accepted) AS accepted FROM drawn JOIN firsts USING (page) WHERE accepted IS NULL OR k <= accepted GROUP BY page""",
+      SELECT page, count(*) AS attempts, count(*) FILTER (d < 4) AS errors, coalesce(any_value(accepted), 0)::BIGINT AS accepted FROM drawn JOIN firsts USING (page) WHERE accepted IS NULL OR k <= accepted GROUP BY page""",
     "chat_histories": """
       WITH asked AS (SELECT conv_id, turn, length(text)::VARCHAR AS said, turn % 3 = 0 AS down FROM conversations WHERE role = 'user')
       SELECT conv_id, turn, said AS tuned_response, 'ok' AS tuned_status, count(*) OVER w - 1 AS tuned_history, CASE WHEN NOT down THEN said END AS base_response,

@@ -381,7 +381,7 @@ def drawn_answer(prompt: str, attempt: int) -> str:
 
 @query
 def generation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages asked until an answer has a valid sample, three times at most: their attempts, errors, and the one accepted."""
+    """Pages asked until an answer has a valid sample, three times at most: their attempts, errors, and the one accepted (0: none)."""
     pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id")).alias("page"), F.col("text").alias("content"))
 
     def accept(responses: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def generation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     responses, good = generation.ask(generation.primary_prompts(pages), drawn_answer, accept, parts=2, at_once=4)
     each = responses.groupBy("page").agg(F.count("*").alias("attempts"), F.count("error").alias("errors"))
-    return each.join(good.select("page", F.col("attempt").cast("long").alias("accepted")), "page", "left").select("page", "attempts", "errors", "accepted")
+    return each.join(good.select("page", F.col("attempt").cast("long").alias("accepted")), "page", "left").select("page", "attempts", "errors", F.coalesce("accepted", F.lit(0).cast("long")).alias("accepted"))
 
 
 # chat
