@@ -7,9 +7,11 @@
    by one, cut at the pieces' beginnings and intersected with a word's bitmap it becomes
    the bitmap of the phrase with that word, and its population count the local count.
    A stack of bitmaps goes depth first; what a step makes is bounded by BATCH entries.
-3. Local counts are summed over shards. The counts of words, then of pairs, leave a filter of fixed
-   size, which keeps shards from extending phrases that can't be frequent. A false hit of the filter costs
-   time only: every count is the exact sum over all shards, and the limit is applied to the sums.
+3. Local counts are summed over shards. Two filters of fixed size keep shards from extending phrases that
+   can't be frequent: one of frequent words, one of pairs. Pairs are first counted by slot, a hash whose range grows
+   with the corpus, which takes two or three bytes for each pair of a shard; a pair whose slot doesn't reach
+   the limit can't. A false hit of a filter costs time only: every count is the exact sum over all
+   shards, and the limit is applied to the sums.
 4. Scores, the rule about longer phrases and the ranking are joins and aggregates over frequent phrases.
 """
 
@@ -129,32 +131,37 @@ def _language(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) % np.uint64(BITS)).astype(np.int64)
+def _slots(hashes: np.ndarray, count: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(count)).astype(np.int64)
 
 
-def bit_filter(phrases: DataFrame, words: int) -> np.ndarray:
-    """BITS bits as bytes; each phrase (lang, phrase) of one or two words sets one. The driver gets at most BITS / 64 rows."""
+def bit_filter(slots: DataFrame) -> np.ndarray:
+    """BITS bits as bytes; each number in the column `slot` sets one. The driver gets at most BITS / 64 rows."""
+    place = F.pmod(F.col("slot"), F.lit(BITS))
+    words = slots.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(slot, {BITS}) & 63 as int))").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return bits.view(np.uint8)
+
+
+def word_slots(words: DataFrame) -> DataFrame:
+    """slot of each word (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = {x: _language(x) for x in pc.unique(batch.column("lang")).to_pylist()}
             salt = np.array([langs[x] for x in batch.column("lang").to_pylist()], np.uint64)
             for at, data, bounds in text_chunks(batch.column("phrase")):
-                found = hash_words(data, bounds, lower=False)[0].reshape(-1, words)
-                key = found[:, 0] if words == 1 else found[:, 0] * _PAIR + found[:, 1]
-                slot = _slots(key ^ salt[at : at + len(key)])
-                yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], ["w", "b"])
+                found = hash_words(data, bounds, lower=False)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(found ^ salt[at : at + len(found)], BITS))], ["slot"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, schema_of("w long, b long")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return bits.view(np.uint8)
+    return words.select("lang", "phrase").mapInArrow(run, schema_of("slot long"))
 
 
-def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = _slots(hashes)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
+def _set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slots = slots % BITS
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 != 0
 
 
 class Bitmaps:
@@ -195,48 +202,108 @@ class Bitmaps:
         return phrase[row], self.word[entry], block[row], both[hit]
 
 
-def phrase_counts(shards: DataFrame, words: np.ndarray, pairs: np.ndarray | None, shortest: int, longest: int) -> DataFrame:
-    """lang, phrase, c: occurrences in each shard of phrases of `shortest` to `longest` words, found depth first.
+class Shard:
+    """A shard as bitmaps of its allowed words; walks phrases depth first."""
+
+    def __init__(self, lang: str, vocabulary: bytes, tokens: np.ndarray, words: np.ndarray):
+        self.lang, self.known = lang, pa.array(vocabulary.split(b" "), pa.binary())
+        self.hashes = hash_words(np.frombuffer(vocabulary, np.uint8), np.array([0, len(vocabulary)]), lower=False)[0]
+        self.salt = _language(lang)
+        self.maps = Bitmaps(tokens, _set(words, _slots(self.hashes ^ self.salt, BITS)))
+
+    def pair_slots(self, left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
+        return _slots((self.hashes[left] * _PAIR + self.hashes[right]) ^ self.salt, count)
+
+    def walk(self, longest: int, allow=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words of each phrase as a row, occurrences) of phrases of two words to `longest`; allow(left, right): which pairs to go on with."""
+        maps = self.maps
+        order = np.argsort(maps.word, kind="stable")
+        one, number = np.unique(maps.word[order], return_inverse=True)
+        # names: the words of each phrase of a batch; phrase, block, bits: their bitmaps
+        stack = [(one[:, None], number.astype(np.int32), maps.block[order], maps.bits[order])]
+        while stack:
+            names, phrase, block, bits = stack.pop()
+            if len(block) > BATCH:
+                stack += [(names, phrase[k : k + BATCH], block[k : k + BATCH], bits[k : k + BATCH]) for k in range(0, len(block), BATCH)]
+                continue
+            phrase, word, block, bits = maps.extend(phrase, block, bits)
+            if allow is not None:
+                some = np.flatnonzero(allow(names[phrase, -1], word))
+                phrase, word, block, bits = phrase[some], word[some], block[some], bits[some]
+            if not len(word):
+                continue
+            key = phrase * np.int64(len(self.known)) + word
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(new)
+            bits, child = bits[order], (np.cumsum(new) - 1).astype(np.int32)
+            names = np.concatenate([names[phrase[order[first]]], word[order[first], None]], 1)
+            yield names, np.add.reduceat(np.bitwise_count(bits).astype(np.int64), first)
+            if names.shape[1] < longest:
+                stack.append((names, child, block[order], bits))
+
+
+def frequent_slots(shards: DataFrame, words: np.ndarray, least: int, slots: int) -> DataFrame:
+    """slot: those of the numbers below `slots` whose pairs occur `least` times or more in all.
+
+    A shard sends its counts by blocks of 65536 slots, as sorted 16-bit numbers and the counts up to `least`. A
+    block's sums are made in one task; it gets as many rows as there are shards, of a few bytes for each pair.
+    """
+    sent = shards.sparkSession.sparkContext.broadcast(words)
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            shard = Shard(*row, sent.value)
+            walked = list(shard.walk(2))
+            if not walked:
+                continue
+            slot = np.concatenate([shard.pair_slots(names[:, 0], names[:, 1], slots) for names, _ in walked])
+            found, inverse = np.unique(slot, return_inverse=True)
+            n = np.minimum(np.bincount(inverse, np.concatenate([c for _, c in walked])), least).astype(kind)
+            low, block = (found & 65535).astype(np.uint16), found >> 16
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            ends = np.append(cuts[1:], len(block)).tolist()
+            columns = [block[cuts].tolist(), [low[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)], [n[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)]]
+            for at in range(0, len(cuts), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 2000], t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "low", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(65536, np.int64)
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((now << 16) + np.flatnonzero(sums >= least))], ["slot"])
+
+        for batch in batches:
+            for block, low, n in zip(batch.column("block").to_pylist(), batch.column("low"), batch.column("n"), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield passed()
+                    now = block
+                    sums[:] = 0
+                sums[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), kind)
+        if now is not None:
+            yield passed()
+
+    counts = shards.select("lang", "vocabulary", "tokens").mapInArrow(count, schema_of("block long, low binary, n binary"))
+    return counts.repartition("block").sortWithinPartitions("block").mapInArrow(add, schema_of("slot long"))
 
-    Phrases with a word that isn't in the filter `words`, or two words in a row that aren't in the
-    filter `pairs` (if given), may be left out. A phrase may come several times for a shard: its counts add up.
+
+def phrase_counts(shards: DataFrame, words: np.ndarray, pairs: np.ndarray, slots: int, longest: int) -> DataFrame:
+    """lang, phrase, c: occurrences in each shard of phrases of two words to `longest`, found depth first.
+
+    Phrases with a word that isn't in the filter `words`, or two words in a row whose slot isn't in the
+    filter `pairs`, are left out. A phrase may come several times for a shard: its counts add up.
     """
     sent = shards.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = sent.value
-        for lang, vocabulary, tokens in _rows(batches):
-            known = pa.array(vocabulary.split(b" "), pa.binary())
-            hashes = hash_words(np.frombuffer(vocabulary, np.uint8), np.array([0, len(vocabulary)]), lower=False)[0]
-            salt = _language(lang)
-            maps = Bitmaps(tokens, _set(words, hashes ^ salt))
-            order = np.argsort(maps.word, kind="stable")
-            one, number = np.unique(maps.word[order], return_inverse=True)
-            # (names: the words of each phrase of the batch; phrase, block, bits: its bitmaps)
-            stack = [(one[:, None], number.astype(np.int32), maps.block[order], maps.bits[order])]
-            while stack:
-                names, phrase, block, bits = stack.pop()
-                if len(block) > BATCH:
-                    stack += [(names, phrase[k : k + BATCH], block[k : k + BATCH], bits[k : k + BATCH]) for k in range(0, len(block), BATCH)]
-                    continue
-                phrase, word, block, bits = maps.extend(phrase, block, bits)
-                if pairs is not None:
-                    some = np.flatnonzero(_set(pairs, (hashes[names[phrase, -1]] * _PAIR + hashes[word]) ^ salt))
-                    phrase, word, block, bits = phrase[some], word[some], block[some], bits[some]
-                if not len(word):
-                    continue
-                key = phrase * np.int64(len(known)) + word
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                first = np.flatnonzero(new)
-                bits, child = bits[order], (np.cumsum(new) - 1).astype(np.int32)
-                names = np.concatenate([names[phrase[order[first]]], word[order[first], None]], 1)
-                if names.shape[1] >= shortest:
-                    counts = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), first)
-                    yield _counts(lang, pc.binary_join_element_wise(*(known.take(pa.array(names[:, k])) for k in range(names.shape[1])), b" "), counts)
-                if names.shape[1] < longest:
-                    stack.append((names, child, block[order], bits))
+        for row in _rows(batches):
+            shard = Shard(*row, words)
+            for names, counts in shard.walk(longest, lambda a, b, shard=shard: _set(pairs, shard.pair_slots(a, b, slots))):
+                yield _counts(shard.lang, pc.binary_join_element_wise(*(shard.known.take(pa.array(names[:, k])) for k in range(names.shape[1])), b" "), counts)
 
     return shards.select("lang", "vocabulary", "tokens").mapInArrow(run, schema_of("lang string, phrase string, c long"))
 
@@ -251,17 +318,15 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
         def summed(counts: DataFrame, path: str) -> DataFrame:
             return materialise(counts.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least), path)
 
-        found = summed(word_counts(dealt), "words")
+        every = summed(word_counts(dealt), "words")
         sizes = materialise(dealt.groupBy("lang").agg(F.sum("n_tokens").alias("n")), "sizes")
-        words = bit_filter(found, 1)
-        levels = [found]
         if longest >= 2:
-            levels.append(summed(phrase_counts(dealt, words, None, 2, 2), "pairs"))
-        if longest >= 3:
-            levels.append(summed(phrase_counts(dealt, words, bit_filter(levels[1], 2), 3, longest), "phrases"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionAll(level)
+            words = bit_filter(word_slots(every))
+            # about four words of the corpus for each slot, so that few slots reach the limit by chance
+            n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            slots = max(1 << 16, n // 4)
+            pairs = bit_filter(frequent_slots(dealt, words, least, slots))
+            every = every.unionAll(summed(phrase_counts(dealt, words, pairs, slots, longest), "phrases"))
     return every.select("lang", "phrase", (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int").alias("k"), "f"), sizes
 
 

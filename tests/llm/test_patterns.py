@@ -132,7 +132,8 @@ def test_collocations(spark, small, monkeypatch):
         # many shards, batches that are cut, and filters that are full of false hits
         shards = collocations.shards
         monkeypatch.setattr(collocations, "shards", lambda d: shards(d, 64))
-        monkeypatch.setattr(collocations, "bit_filter", lambda *_: np.full(collocations.BITS // 8, 255, np.uint8))
+        filled = collocations.bit_filter
+        monkeypatch.setattr(collocations, "bit_filter", lambda x: filled(x) | np.uint8(0xAA))
     got = sorted(map(tuple, collocations.collocations(docs, least=12).collect()))
     expected = brute.collocations(rows, 12)
     assert got == expected
