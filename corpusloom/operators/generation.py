@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import conversations, payloads, text
 from corpusloom.operators import dedupe
-from corpusloom.runtime import once, table_path, written
+from corpusloom.runtime import once, table_path, unseen, written
 
 MIN_CHARS, ATTEMPTS, BANNED, ITEMS = 200, 3, 30, 8
 #: The shape of the exchange (fixed value).
@@ -115,22 +115,22 @@ def ask(prompts: DataFrame, model: Callable[[str, int], str], accept: Callable[[
     """
     spark = prompts.sparkSession
     folder = path or table_path(spark, "asked")
-    whole = once(prompts.filter("prompt is not null").groupBy("page").agg(F.min("prompt").alias("prompt")), f"{folder}/prompts")
-    asked, good = [], []
+    # dealt by page over the cores, so that slow calls are spread whatever files the prompts lie in
+    dealt = prompts.filter("prompt is not null").repartition(max(parts, spark.sparkContext.defaultParallelism), "page")
+    whole = once(dealt.groupBy("page").agg(F.min("prompt").alias("prompt")), f"{folder}/prompts")
+    pages, asked, good = whole.count(), [], []
     for k in range(1, attempts + 1):
         left = whole
-        for done in good:
-            left = left.join(done.select("page"), "page", "left_anti")
-        if k > 1:
-            left = once(left, f"{folder}/left-{k}")
-            if left.isEmpty():
+        if good:
+            done = reduce(DataFrame.unionAll, good).select(F.col("page").alias("_page"))
+            if done.count() >= pages:
                 break
+            left = unseen(whole, "page", done, "_page")
             if not written(spark, f"{folder}/asked-{k}-0"):
                 time.sleep(delay)
         now = []
         for part in range(parts):
-            # repartitioned, so that slow calls are spread whatever files the prompts lie in
-            share = left.filter(F.pmod(F.xxhash64("page"), F.lit(parts)) == part).repartition(spark.sparkContext.defaultParallelism, "page")
+            share = left.filter(F.pmod(F.xxhash64("page"), F.lit(parts)) == part)
             now.append(once(generate(share, partial(_attempt, model, k), k, at_once), f"{folder}/asked-{k}-{part}"))
         asked += now
         good.append(once(accept(reduce(DataFrame.unionAll, now)).select("page").distinct().withColumn("attempt", F.lit(k)), f"{folder}/good-{k}"))
