@@ -12,8 +12,7 @@ Tree: a node is a turn after given turns; conversations that share their first
 turns share nodes. A node with over PIECE different conversations below it
 is a piece of its own (trunk); below the trunk a piece is a subtree of at most
 PIECE conversations. A piece is the depth-first stretch of its nodes' texts, each
-node once. Units (tokens) are code points of the formatted text, or
-whatever `encode` makes of a turn. A unit's position id counts the units of its
+node once. Units (tokens) are code points of the formatted text. A unit's position id counts the units of its
 ancestors first, so it is what it would be in its conversation alone. Its attention
 reaches the ancestors' intervals, given as (piece, begin, end), and its own node up to itself.
 """

@@ -3,9 +3,9 @@
 1. One pass over the texts: distinct shingles, a digest of the set, a signature
    of TREES x DEPTH minima. Equal sets form a class, represented by the smallest id.
 2. Each tree orders the classes by its own DEPTH minima. A region is a stretch
-   of that order with a common prefix; a class's neighbours by longest common
-   prefix are in its region. A region starts at `depth` minima and is cut at one
-   more wherever it holds over REGION classes, until it doesn't.
+   of that order with a common prefix of `depth` minima; a class's neighbours by longest common
+   prefix are in its region. Where a region holds over CROWD classes, they go to a
+   deeper forest: regions of DEPTH common minima, in sixteen times as many orders.
 3. In a region, pairs whose signatures agree well enough (4.5 standard errors
    below the limit) are joined into a spanning forest: no pairs are written.
 4. The components of the forest are candidate groups. Their texts are read again
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,25 @@ from corpusloom.llm.arrow import map_rows, schema_of
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.prefilter import only_possible
 from corpusloom.llm.words import hash_words, shingles, text_chunks
-from corpusloom.runtime import materialise
+from corpusloom.runtime import Scratch, materialise
 
 TREES, DEPTH = 16, 8
-REGION, BLOCK = 1024, 256
+#: Classes in one task, classes above which a region goes to the deep forest, texts of a group in one task.
+REGION, CROWD, BLOCK = 1024, 16384, 256
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = np.random.default_rng(8).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
+#: Orders of the signature, each by DEPTH of its minima: those of the first forest, then the minima dealt anew 15 times.
+ORDERS = [
+    order
+    for dealt in [np.arange(TREES * DEPTH), *(np.random.default_rng(9 + k).permutation(TREES * DEPTH) for k in range(15))]
+    for order in dealt.reshape(TREES, DEPTH).tolist()
+]
+
+
+def missed(similarity: float, depth: int, orders: int) -> float:
+    """The chance that a pair agrees in the first `depth` minima of none of some orders; orders may share minima."""
+    pairs = TREES * DEPTH
+    return sum(comb(pairs, a) * similarity**a * (1 - similarity) ** (pairs - a) * (1 - comb(a, depth) / comb(pairs, depth)) ** orders for a in range(pairs + 1))
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
@@ -82,34 +96,37 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema_of("doc_id long, t long, n_shingles long, digest binary, sig binary"))
 
 
-def regions(classes: DataFrame, depth: int) -> DataFrame:
-    """(region, rep) for all regions of two classes or more; classes: rep, sig.
+def regions(classes: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(region, cls) for all regions of two classes or more; classes: cls (a long of the class's own), sig.
 
-    A region that two trees share comes once. One that is still too large at full
-    depth (equal in all minima of a tree) is dealt to blocks of REGION / 2
-    classes, and each pair of blocks is a region: all its pairs meet. That is quadratic in such a
-    region but spread over tasks; each class goes to as many of them as there are other blocks.
+    A region that two orders share comes once: its key is a digest of the classes in it. One of over REGION
+    classes is dealt to blocks of REGION / 2, and each pair of blocks is a region, so all its pairs meet and no task
+    holds more than about REGION classes. That is quadratic in the region but spread over tasks; each class goes to as
+    many of them as there are other blocks. Classes of a region of over CROWD go to the deep forest instead, whose
+    ORDERS orders of DEPTH minima miss no more pairs of that similarity than the first; where they would (low
+    similarities), and in the deep forest itself, blocks are used at every size. So the size of a region never lowers the chance of a pair.
     """
-    found = None
-    left = classes.select("rep", "sig", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"))
-    while True:
-        prefix = F.substring(F.col("sig"), F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * depth))
-        keyed = left.select("rep", "tree", F.xxhash64("tree", prefix).alias("h"))
-        groups = materialise(keyed.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("region")).filter("n > 1"), "regions")
-        last = depth == DEPTH
-        small = keyed.join(groups if last else groups.filter(F.col("n") <= REGION), "h")
-        if last:
-            small = small.withColumn("k", F.when(F.col("n") > REGION, F.ceil(2 * F.col("n") / REGION)).otherwise(1).cast("int"))
-            small = small.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-            small = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).filter("k = 1 or other != mine")
-            small = small.withColumn("region", F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")))
-        part = small.select("region", "rep")
+    forests = [(depth, ORDERS[:TREES])]
+    if missed(similarity, DEPTH, len(ORDERS)) <= (1 - similarity**depth) ** TREES:
+        forests.append((DEPTH, ORDERS))
+    found, left = None, classes
+    for d, orders in forests:
+        last = d == forests[-1][0]
+        each = F.explode(F.array(*[F.array(*[F.lit(at) for at in order[:d]]) for order in orders]))
+        prefix = F.transform("order", lambda at: F.substring(F.col("sig"), 4 * at + 1, F.lit(4)))
+        keyed = left.select("cls", "sig", each.alias("order")).select("cls", F.xxhash64("order", prefix).alias("h"))
+        groups = materialise(keyed.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x")).filter("n > 1"), "regions")
+        dealt = keyed.join(groups if last else groups.filter(F.col("n") <= CROWD), "h")
+        dealt = dealt.withColumn("k", F.when(F.col("n") > REGION, F.ceil(2 * F.col("n") / REGION)).otherwise(1).cast("int"))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("k")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).filter("k = 1 or other != mine")
+        part = dealt.select(F.xxhash64("x", "n", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "cls")
         found = part if found is None else found.unionAll(part)
-        if last or groups.filter(F.col("n") > REGION).isEmpty():
-            return found.distinct()
-        crowded = keyed.join(groups.filter(F.col("n") > REGION).select("h"), "h").select("rep", "tree")
-        left = materialise(crowded.join(classes, "rep").select("rep", "sig", "tree"), "crowded")
-        depth += 1
+        crowded = groups.filter(F.col("n") > CROWD).select("h")
+        if last or crowded.isEmpty():
+            break
+        left = materialise(classes.join(keyed.join(crowded, "h").select("cls").distinct(), "cls"), "crowded")
+    return found.distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -156,7 +173,10 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def candidate_edges(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """A spanning forest (a, b) of the pairs in each region whose signatures and sizes allow the similarity."""
+    """A spanning forest (a, b) of the pairs in each region whose signatures and sizes allow the similarity.
+
+    members: region, cls, read twice; classes: cls, rep, n_shingles, sig.
+    """
     least = similarity - 4.5 * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +199,7 @@ def candidate_edges(members: DataFrame, classes: DataFrame, similarity: float) -
         if held:
             yield _edges(held)
 
-    members = materialise(members, "members")
-    rows = members.join(only_possible(classes, "rep", members, "rep"), "rep").select("region", "rep", "n_shingles", "sig")
+    rows = members.join(only_possible(classes, "cls", members, "cls"), "cls").select("region", "rep", "n_shingles", "sig")
     return rows.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(run, schema_of("a long, b long"))
 
 
@@ -250,9 +269,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, depth: in
     if no row with an id has the same shingles.
 
     Every step's work follows the rows and the sizes of candidate groups. A pair
-    with the least similarity s meets in no tree with probability (1 - s^d)^TREES:
-    2.4e-7 at 85 % and 1.0e-5 at 80 % where regions stay at d = 3 minima, up to
-    6.2e-3 and 5.3e-2 where all its regions are so crowded that they are cut to d = 8. The
+    with the least similarity s meets in no tree with probability (1 - s^3)^16:
+    2.4e-7 at 85 % and 1.0e-5 at 80 %, and in no order of the deep forest, where both texts'
+    regions are crowded, with 1.1e-10 and 1.6e-7 (missed()). The
     signature test drops 1.8e-5 and 2.0e-5 of such pairs. A missed pair still
     shares a component when other links join it.
     """
@@ -264,11 +283,11 @@ def verdicts(docs: DataFrame, percent: int, size: int = 5, depth: int = 3) -> Da
     sketches = materialise(sketch(docs, size), "sketches")
     some = sketches.filter("n_shingles > 0 and doc_id is not null")
     least = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
-    classes = materialise(least.select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "classes")
-    # one id may have several sets: then its classes share the representative, and are compared as one of them
-    members = regions(classes.select("rep", "sig"), depth)
-    edges = candidate_edges(members, classes.select("rep", "n_shingles", "sig"), percent / 100)
-    groups = materialise(connected_components(edges), "groups")
+    classes = materialise(least.select("digest", F.xxhash64("digest").alias("cls"), F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "classes")
+    # one id may have several sets: their classes share the representative, so they are one node of the links
+    with Scratch(docs.sparkSession) as scratch:
+        members = scratch.keep(regions(classes.select("cls", "sig"), depth, percent / 100), "members")
+        groups = connected_components(candidate_edges(members, classes, percent / 100))
     links = connected_components(confirmed_edges(docs, groups, percent, size))
     heads = classes.join(links, classes.rep == links.node, "left").select("digest", F.coalesce("component", "rep").alias("head"))
     out = sketches.select("doc_id", "t", "n_shingles", "digest").join(heads, "digest", "left")

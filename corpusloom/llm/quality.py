@@ -64,7 +64,7 @@ def _repeated(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", stop_words: str = STOP_WORDS) -> DataFrame:
-    """Adds what the rules look at; no shuffle, every other column stays.
+    """Adds what the rules look at; no shuffle. Columns of docs with one of these names are replaced, every other one stays.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long; see the
     names in the README), n_lines, n_echo_words (equal to the word
@@ -74,19 +74,20 @@ def measures(docs: DataFrame, text: str = "text", stop_words: str = STOP_WORDS)
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    out = docs.withColumn("_words", words).withColumn("_lines", lines)
+    own_words, own_lines = (f"_{n}_{uuid.uuid4().hex[:12]}" for n in ("words", "lines"))
+    out = docs.withColumn(own_words, words).withColumn(own_lines, lines)
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+            "n_words": F.size(own_words).cast("long"),
+            "word_chars": F.aggregate(own_words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
             "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("_words")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_echo_words": _let(F.col("_words"), lambda words: F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop_words.split()))).cast("long"),
+            "n_dup_lines": (F.size(own_lines) - F.size(F.array_distinct(own_lines))).cast("long"),
+            "n_repeat_words": _repeated(F.col(own_words)).cast("long"),
+            "n_lines": F.size(own_lines).cast("long"),
+            "n_echo_words": _let(F.col(own_words), lambda words: F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))).cast("long"),
+            "n_stop_words": F.size(F.filter(own_words, lambda w: w.isin(stop_words.split()))).cast("long"),
         }
-    ).drop("_words", "_lines")
+    ).drop(own_words, own_lines)
     some = F.nullif(F.col("n_words"), F.lit(0))
     return out.withColumns(
         {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,18 @@ def assign(records: DataFrame, key: Column, weights: list[float], grown_by: floa
     don't depend on a shard's being there, so a new shard takes records only
     into itself and a removed one gives up only its own. With grown_by, the
     weight of one more shard, `grown_shard` is the place with that shard added.
-    A null key is one key of its own. No shuffle; whatever else the rows hold stays.
+    A null key is one key of its own. No shuffle; columns named shard (with
+    grown_by also grown_shard) are replaced, whatever else the rows hold stays.
     """
     own = F.coalesce(key.cast("string"), F.lit("\\N"))
     ranked = [F.struct(score(own, k, w).alias("score"), F.lit(-k).alias("shard")) for k, w in enumerate(weights)]
-    out = records.withColumn("_best", F.array_max(F.array(*ranked)))
-    out = out.withColumn("shard", (-F.col("_best.shard")).cast("int"))
+    best = f"_best_{uuid.uuid4().hex[:12]}"
+    out = records.withColumn(best, F.array_max(F.array(*ranked)))
+    out = out.withColumn("shard", (-F.col(f"{best}.shard")).cast("int"))
     if grown_by is not None:
         more = F.struct(score(own, len(weights), grown_by).alias("score"), F.lit(-len(weights)).alias("shard"))
-        out = out.withColumn("grown_shard", (-F.greatest(F.col("_best"), more)["shard"]).cast("int"))
-    return out.drop("_best")
+        out = out.withColumn("grown_shard", (-F.greatest(F.col(best), more)["shard"]).cast("int"))
+    return out.drop(best)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

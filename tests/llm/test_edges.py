@@ -1,7 +1,11 @@
 """Empty tables, nulls, repeated rows and extra columns."""
 
+import random
+
+import brute
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import chat, fingerprints, lattice, neardup, quality, sharding, substrings, tokenize
@@ -62,12 +66,61 @@ def test_all_pairs_of_a_full_depth_region_meet(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 4)
     sig = neardup.signature(neardup.np.arange(50, dtype=neardup.np.uint64)).tobytes()
     found = {}
-    for r in neardup.regions(spark.createDataFrame([(k, sig) for k in range(30)], "rep long, sig binary"), 3).collect():
-        found.setdefault(r.region, set()).add(r.rep)
+    for r in neardup.regions(spark.createDataFrame([(k, sig) for k in range(30)], "cls long, sig binary"), 3, 0.8).collect():
+        found.setdefault(r.region, set()).add(r.cls)
     met = {(a, b) for x in found.values() for a in x for b in x if a < b}
     assert met == {(a, b) for b in range(30) for a in range(b)}
 
 
+def test_ids_with_two_near_texts_stay_in_regions_of_their_own(spark):
+    rows = []
+    for k in range(2000):
+        w = [f"a{k}x{n}" for n in range(60)]
+        rows += [(k, " ".join(w)), (k, " ".join([*w[:-1], "other"]))]
+    sketches = neardup.sketch(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = sketches.select(F.xxhash64("digest").alias("cls"), "sig")
+    sizes = [r["count"] for r in neardup.regions(classes, 3, 0.8).groupBy("region").count().collect()]
+    assert sizes and max(sizes) == 2
+
+
+@pytest.mark.parametrize(("percent", "crowd"), [(80, 50), (85, 16384)])
+def test_no_link_is_lost_in_crowded_regions(spark, monkeypatch, crowd, percent):
+    """One template in 200 variants, so that most pairs are near the limit; regions in blocks, or in the deep forest."""
+    monkeypatch.setattr(neardup, "REGION", 16)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    r = random.Random(5)
+    rows = []
+    for k in range(200):
+        w = [f"w{n}" for n in range(150)]
+        for _ in range(1 + k % 3):
+            w[r.randrange(150)] = f"x{r.randrange(10**9)}"
+        rows.append((k, " ".join(w)))
+    sets = {k: set(zip(*(t.split()[n:] for n in range(5)), strict=False)) for k, t in rows}
+    linked = {(a, b) for b in sets for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = neardup.sketch(docs).select("doc_id", F.xxhash64("digest").alias("cls"), "sig")
+    found = {}
+    for x in neardup.regions(classes.select("cls", "sig"), 3, percent / 100).join(classes, "cls").select("region", "doc_id").collect():
+        found.setdefault(x.region, set()).add(x.doc_id)
+    assert linked and max(map(len, found.values())) <= 48
+    assert linked <= {(a, b) for x in found.values() for a in x for b in x if a < b}
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs, percent).collect()}
+    assert got == {k: v[1] for k, v in brute.components(dict(rows), percent).items()}
+
+
+def test_names_of_its_own_in_quality_and_sharding(spark):
+    rows = spark.createDataFrame([(1, "a b c", 7, 8, 9)], "doc_id long, text string, _words long, _lines long, _best long")
+    scored = quality.score_quality(rows).first()
+    assert (scored["_words"], scored["_lines"], scored.n_words) == (7, 8, 3)
+    dealt = sharding.assign(rows, F.col("doc_id"), [1.0, 1.0], 1.0).first()
+    assert dealt["_best"] == 9 and dealt.shard in (0, 1) and dealt.grown_shard in (dealt.shard, 2)
+
+
+def test_pipeline_stages_on_an_empty_table(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+
+
 def test_empty_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
