@@ -188,6 +188,7 @@ SQL: dict[str, str] = {
     "conv_structural": f"WITH {SAMPLES}, kept AS (SELECT * FROM samples WHERE {STRUCTURAL}) {FLAT}",
     "conv_loose": f"WITH {SAMPLES}, kept AS (SELECT * FROM samples WHERE {LOOSE}) {FLAT}",
     "question_dedupe": f"WITH {PAIRS} SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY {collapse(KEY)} ORDER BY doc_id, k) AS nth FROM pairs) WHERE nth = 1",
+    "question_store": f"WITH {PAIRS} SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY {collapse(KEY)} ORDER BY doc_id, k) AS nth FROM pairs) WHERE nth = 1",
     "question_anti": f"""WITH {PAIRS} SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id, k) AS nth FROM pairs
       WHERE doc_id % 2 = 1 AND {KEY} NOT IN (SELECT {KEY} FROM pairs WHERE doc_id % 2 = 0)) WHERE nth = 1""",
     "conversation_dedupe": f"WITH {PAIRS}, {WEBSITE} SELECT doc_id, k FROM website",
@@ -301,4 +302,20 @@ SQL: dict[str, str] = {
       marked AS (SELECT *, sum((lower(said) IN ('quit', 'exit'))::INT) OVER w AS quits, sum((lower(said) = 'clear')::INT) OVER w AS session
         FROM inputs WHERE said <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
       SELECT conv_id, turn, said, session::BIGINT AS session FROM marked WHERE quits = 0 AND lower(said) <> 'clear'""",
+    "event_sessions": """
+      WITH told AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      numbered AS (SELECT *, sum((before IS NULL OR ts > before + INTERVAL 12 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM told)
+      SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS events, sum(round(value * 1000)::BIGINT)::BIGINT AS thousandths FROM numbered GROUP BY user_id, session""",
+    "event_as_of": """
+      SELECT p.event_id, coalesce(c.event_id, -1) AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+      ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""",
+    "event_near": """
+      SELECT e.event_id, p.event_id AS purchase_id FROM events e JOIN events p ON p.ts BETWEEN e.ts - INTERVAL 20 MINUTE AND e.ts + INTERVAL 40 MINUTE
+      WHERE e.event_type = 'error' AND p.event_type = 'purchase'""",
+    "lineitem_cube": """
+      WITH priced AS (SELECT l_returnflag, l_linestatus, year(l_shipdate) AS year, l_quantity::BIGINT AS quantity, round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem)
+      SELECT l_returnflag, l_linestatus, coalesce(year, -1) AS year, grouping(l_returnflag, l_linestatus, year)::BIGINT AS level, count(*) AS n_rows, sum(quantity)::BIGINT AS quantity, sum(cents)::BIGINT AS cents
+      FROM priced GROUP BY CUBE (l_returnflag, l_linestatus, year)""",
+    "lineitem_sketches": """
+      SELECT year(l_shipdate) AS year, count(*) AS n, count(DISTINCT l_partkey) AS parts, true AS parts_close, true AS median_close FROM lineitem GROUP BY 1""",
 }

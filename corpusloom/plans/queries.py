@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import conversations, payloads, text, urls
+from corpusloom.functions import conversations, payloads, text, times, urls
 from corpusloom.functions import html as html_functions
-from corpusloom.operators import audit, chatting, crawl, dedupe, generation, sampling, training
+from corpusloom.operators import audit, chatting, crawl, dedupe, events, generation, keystore, rollups, sampling, training
 from corpusloom.plans import fixtures
 from corpusloom.sources import files, web
 from corpusloom.plans.fixtures import table
+from corpusloom.runtime import materialise
 
 #: Hosts that the domain query allows.
 DOMAINS = ("spam-farm.example.org", "ththre.example.com", "therha.example.com")
@@ -205,6 +207,20 @@ def question_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.first_wins(dedupe.not_seen(rows.filter("doc_id % 2 = 1"), key, seen, "question"), key, F.col("doc_id"), F.col("k")).select("doc_id", "k")
 
 
+@query
+def question_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_dedupe over documents that come in three batches, by ranges of doc_id, with the keys of earlier ones in a store."""
+    rows = fixtures.pair_samples(spark, sf_dir)
+    key = conversations.question_key(F.col("messages"), collapsed=True)
+    cuts = sorted({int(c) for c in table(spark, sf_dir, "documents").approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01)})
+    store, out = keystore.KeyStore(spark, fan=2), []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        batch = rows if low is None else rows.filter(F.col("doc_id") > low)
+        batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
+        out.append(store.admit(str(k), batch, key, F.col("doc_id"), F.col("k")).select("doc_id", "k"))
+    return reduce(DataFrame.unionAll, out)
+
+
 @query
 def conversation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.dedupe_conversations(fixtures.pair_samples(spark, sf_dir), "doc_id", "k").select("doc_id", "k")
@@ -446,3 +462,51 @@ def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when((c % 3 == 0) & (t == 2), F.lit(" Clear ")).when((c % 5 == 0) & (t == 5), F.lit("EXIT")).when((c % 4 == 0) & (t == 1), F.lit(" \t ")).otherwise(F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
     return chatting.sessions(rows, "conv_id", "turn", "said")
+
+
+# events and rollups
+
+
+@query
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user, in which events are at most 12 hours apart."""
+    rows = table(spark, sf_dir, "events").withColumn("thousandths", F.round(F.col("value") * 1000).cast("long"))
+    found = events.sessions(rows, "user_id", "ts", "12 hours", ["thousandths"])
+    return found.select("user_id", times.micros(F.col("start")).alias("start"), times.micros(F.col("last")).alias("last"), "events", "thousandths")
+
+
+@query
+def event_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the last click of its user until then; -1 where there is none."""
+    rows = table(spark, sf_dir, "events")
+    found = events.as_of(rows.filter("event_type = 'purchase'"), rows.filter("event_type = 'click'"), "user_id", "ts", "click", ["event_id"])
+    return found.select("event_id", F.coalesce("click.event_id", F.lit(-1).cast("long")).alias("click_id"), F.col("click.value").alias("click_value"))
+
+
+@query
+def event_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with the purchases of all users at most 20 minutes before and 40 after it."""
+    rows = table(spark, sf_dir, "events")
+    found = events.within(rows.filter("event_type = 'error'"), rows.filter("event_type = 'purchase'").select("event_id", "ts"), "ts", 1200, 2400)
+    return found.select("event_id", F.col("other.event_id").alias("purchase_id"))
+
+
+@query
+def lineitem_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year -1 stands for all years."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").cast("long").alias("year"), F.col("l_quantity").cast("long").alias("quantity"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    found = rollups.cube(rows, ["l_returnflag", "l_linestatus", "year"], ["quantity", "cents"])
+    return found.select("l_returnflag", "l_linestatus", F.coalesce("year", F.lit(-1).cast("long")).alias("year"), F.col("level").cast("long").alias("level"), F.col("rows").alias("n_rows"), "quantity", "cents")
+
+
+@query
+def lineitem_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and the median price of a year, from sketches kept per day, beside exact counts: 4 % and a rank of 3 % are the bounds."""
+    rows = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_partkey", "l_extendedprice")
+    days = materialise(rollups.day_sketches(rows, "l_shipdate", "l_partkey", "l_extendedprice"), "days")
+    found = rollups.merged(days, F.year("day"), "year")
+    exact = rows.groupBy(F.year("l_shipdate").alias("year")).agg(F.countDistinct("l_partkey").alias("parts"))
+    year = F.year("l_shipdate").alias("year")
+    upto = rows.select(year, "l_extendedprice").join(found.select("year", "quantile"), "year").groupBy("year").agg((F.count_if(F.col("l_extendedprice") <= F.col("quantile")) / F.count("l_extendedprice")).alias("rank"))
+    both = found.join(exact, "year").join(upto, "year")
+    return both.select(F.col("year").cast("long").alias("year"), "n", "parts", (F.abs(F.col("distinct") - F.col("parts")) <= 0.04 * F.col("parts")).alias("parts_close"), (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_close"))
