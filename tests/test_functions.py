@@ -165,3 +165,10 @@ def test_json_as_python_reads_it(spark):
     cases = ['{"a":1,"a":2}', '{"a":NaN}', '[-Infinity]', '{"a":{"b":1,"b":"x"}}', '{"a":1,"a":', "NaN", "nan", '{"a":1} {"a":2}', None]
     got = column(spark, cases, lambda c: F.to_json(payloads.strict_json(c)))
     assert got == ['{"a":2}', '{"a":null}', "[null]", '{"a":{"b":"x"}}', None, "null", None, None, None]
+
+
+def test_references_without_semicolon_stay_text():
+    page = "<title>a&&&amp</title><!-- &lt --><script>x&lt</script><body>&lt b &ampx; &amp; &copy; &nosuch;<a href='/?a=1&copy=2&amp;b'>c</a></body>"
+    title, found, hrefs, _ = html.parse_page(page)
+    assert (title, found.split("\n"), hrefs) == ("a&&&amp", ["&lt b &ampx; & © &nosuch;", "c"], ["/?a=1&copy=2&b"])
+    assert "x&lt" in html.parse_page("<body><script>x&lt</script></body>", noise=[])[1]
