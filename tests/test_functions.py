@@ -172,3 +172,14 @@ def test_references_without_semicolon_stay_text():
     title, found, hrefs, _ = html.parse_page(page)
     assert (title, found.split("\n"), hrefs) == ("a&&&amp", ["&lt b &ampx; & © &nosuch;", "c"], ["/?a=1&copy=2&b"])
     assert "x&lt" in html.parse_page("<body><script>x&lt</script></body>", noise=[])[1]
+
+
+def test_pages_are_parsed_a_few_at_once(spark):
+    import pyarrow as pa
+
+    assert [len(x) for x in html.slices([pa.array(["x"] * 250), pa.array([], pa.string())])] == [100, 100, 50]
+    pages = [None if k % 50 == 7 else f"<title>t{k}</title><main>m{k}<a href='/{k}'>a</a></main>" for k in range(250)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "k long, html string").coalesce(1)
+    parts = frame.select("k", html.page_parts(F.col("html")).alias("p")).select("k", "p.*", html.resolve(F.lit("http://h/"), F.col("p.hrefs")).alias("links"))
+    expected = [html.parse_page(p) for p in pages]
+    assert [tuple(r) for r in parts.orderBy("k").collect()] == [(k, *e, [html.resolve_one("http://h/", h) for h in e[2]]) for k, e in enumerate(expected)]
