@@ -166,3 +166,11 @@ def test_key_store_gives_the_answer_of_one_pass(spark, tmp_path):
     assert got == firsts
     none = spark.createDataFrame([], "id long, name string")
     assert keystore.KeyStore(spark, folder, fan=2).admit("none", none, F.col("name"), F.col("id")).count() == 0
+
+
+def test_interval_join_makes_bounds_once_a_row(spark):
+    rows = spark.sql("SELECT id, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, id, 0) AS ts FROM range(300)")
+    found = events.within(rows, rows, "ts", 1200, 2400)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("INTERVAL" not in x for x in joins)
+    assert sorted((r.id, r.other.id) for r in found.collect()) == [(a, b) for a in range(300) for b in range(300) if a - 20 <= b <= a + 40]
