@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import NOT_WS, strip
 
 SYSTEM = "You are a helpful assistant. Answer questions accurately based on your knowledge."
 
@@ -17,7 +17,7 @@ def accumulate(chunks: DataFrame) -> DataFrame:
 
     chunks: request_id, seq, content, done. Null contents count as empty; a request is one answer, held in one row.
     """
-    ordered = chunks.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))).alias("c"), F.min(F.when(F.col("done"), F.col("seq"))).alias("last"))
+    ordered = chunks.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))).alias("c"), F.min(F.when(F.col("done"), F.col("seq"))).alias("last"))
     kept = F.filter("c", lambda x: F.col("last").isNull() | (x["seq"] <= F.col("last")))
     return ordered.select("request_id", F.array_join(F.transform(kept, lambda x: x["content"]), "").alias("response"))
 
@@ -38,7 +38,7 @@ def stream_chunks(lines: DataFrame, stop: Sequence[str] = (), most: int | None =
     stop strings, the answer ends before the first place where one stands, also over several chunks: the chunk in which it
     begins is cut there and done, later ones go, and so do chunks behind one that is done. An answer is one row while it is looked through.
     """
-    read = lines.filter(strip(F.col("line")) != "").withColumn("_v", F.parse_json("line"))
+    read = lines.filter(F.rlike("line", F.lit(NOT_WS))).withColumn("_v", F.parse_json("line"))
     content = F.coalesce(F.try_variant_get("_v", "$.message.content", "string"), F.lit(""))
     done = F.coalesce(F.try_variant_get("_v", "$.done", "boolean"), F.lit(False))
     out = read.select("request_id", "seq", content.alias("content"), done.alias("done"))
@@ -46,18 +46,27 @@ def stream_chunks(lines: DataFrame, stop: Sequence[str] = (), most: int | None =
         nth = F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))
         out = out.withColumn("_n", nth).filter(F.col("_n") <= most).withColumn("done", F.col("done") | (F.col("_n") == most)).drop("_n")
     if stop:
-        whole = out.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content", "done"))).alias("_c"))
-        last = F.array_min(F.transform(F.filter("_c", lambda x: x["done"]), lambda x: x["seq"]))
-        whole = whole.withColumn("_c", F.filter("_c", lambda x: last.isNull() | (x["seq"] <= last)))
-        text = F.array_join(F.transform("_c", lambda x: x["content"]), "")
-        at = [F.nullif(F.instr(text, s), F.lit(0)) for s in dict.fromkeys(stop) if s]
-        whole = whole.withColumn("_at", F.least(*at, F.lit(None).cast("int")) - 1)
-        each = whole.select("request_id", "_at", F.explode("_c").alias("_x")).select("request_id", "_at", "_x.*")
-        begin = F.coalesce(F.sum(F.length("content")).over(Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        each = each.withColumn("_begin", begin).filter("_at is null or _begin <= _at")
-        ends = F.coalesce(F.col("_begin") + F.length("content") > F.col("_at"), F.lit(False))
-        # an empty chunk at the very place, before the one in which the stop string begins, ends nothing
-        out = each.select("request_id", "seq", F.when(ends, F.expr("substring(content, 1, cast(_at - _begin as int))")).otherwise(F.col("content")).alias("content"), (F.col("done") | ends).alias("done"))
+        whole = out.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("seq", "content", "done"))).alias("_c"), F.min(F.when(F.col("done"), F.col("seq"))).alias("_last"))
+        kept = F.filter("_c", lambda x: F.col("_last").isNull() | (x["seq"] <= F.col("_last")))
+        # through generators, so that the chunks that stay, their text and the place are each made once an answer
+        whole = whole.select("request_id", F.explode(F.array(kept)).alias("_c"))
+        whole = whole.select("request_id", "_c", F.explode(F.array(F.array_join(F.transform("_c", lambda x: x["content"]), ""))).alias("_text"))
+        at = [F.nullif(F.instr("_text", s), F.lit(0)) for s in dict.fromkeys(stop) if s]
+        whole = whole.select("request_id", "_c", F.explode(F.array(F.least(*at, F.lit(None).cast("int"), F.lit(None).cast("int")) - 1)).alias("_at"))
+        # n chunks end at the place or before it, the last of them at `to`; the next one is cut, later ones go.
+        # An empty chunk at the very place, before the one in which the stop string begins, ends nothing
+        zero = F.struct(F.lit(0).alias("all"), F.lit(0).alias("n"), F.lit(0).alias("to"))
+
+        def step(a: Column, x: Column) -> Column:
+            total = a["all"] + F.length(x["content"])
+            inside = total <= F.col("_at")
+            return F.struct(total.alias("all"), F.when(inside, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(inside, total).otherwise(a["to"]).alias("to"))
+
+        whole = whole.select("request_id", "_c", "_at", F.explode(F.array(F.when(F.col("_at").isNotNull(), F.aggregate("_c", zero, step)))).alias("_a"))
+        each = whole.select("request_id", "_at", "_a", F.posexplode(F.when(F.col("_at").isNull(), F.col("_c")).otherwise(F.slice("_c", F.lit(1), F.col("_a.n") + 1))).alias("_k", "_x"))
+        ends = F.coalesce(F.col("_k") == F.col("_a.n"), F.lit(False))
+        content = F.when(ends, F.substring("_x.content", F.lit(1), F.col("_at") - F.col("_a.to"))).otherwise(F.col("_x.content"))
+        out = each.select("request_id", "_x.seq", content.alias("content"), (F.col("_x.done") | ends).alias("done"))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -507,3 +508,15 @@ def test_preparing_pages_with_a_model(spark):
     pages = spark.createDataFrame([("one", content), ("two", content), ("short", "too short")], "page string, content string")
     got = generation.prepare_pages(pages, model).collect()
     assert [(r.page, r.item, r.messages[1].content) for r in got] == [("one", 0, item["messages"][1]["content"])]
+
+
+def test_stop_strings_in_an_answer_of_many_chunks(spark):
+    # work that grows with the square of an answer's chunks would take minutes here
+    n = 30_000
+    lines = spark.range(n).select(F.lit(1).alias("request_id"), F.col("id").alias("seq"), F.to_json(F.struct(F.struct(F.when(F.col("id") == n - 5, "xSTO").when(F.col("id") == n - 4, "Py").otherwise(F.when(F.col("id") % 3 == 0, "").otherwise("é")).alias("content")).alias("message"), (F.col("id") == n - 2).alias("done"))).alias("line"))
+    began = time.monotonic()
+    found = chatting.accumulate(chatting.stream_chunks(lines, ["STOP", "never"])).collect()
+    assert time.monotonic() - began < 60
+    assert [tuple(r) for r in found] == [(1, "é" * sum(k % 3 != 0 for k in range(n - 5)) + "x")]
+    whole = chatting.accumulate(chatting.stream_chunks(lines, ["never"])).first().response
+    assert whole.endswith("STOPy" + "".join("" if k % 3 == 0 else "é" for k in (n - 3, n - 2))) and "never" not in whole
