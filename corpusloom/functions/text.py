@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: White space as Python's str.isspace has it, in Java's regular expressions (fixed values).
 WS = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
 NOT_WS = "[^\\s\\x1c-\\x1f\\x85\\p{Z}]"
+#: The characters of WS, for functions that take them as a string (fixed values).
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Line ends as Python's str.splitlines has them (fixed values).
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]"
 #: Words that don't count as evidence (fixed values).
@@ -23,7 +25,7 @@ MAX_CHARS = 3500
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -32,8 +34,13 @@ def collapse(text: Column) -> Column:
 
 
 def simplify(text: Column, limit: int = MAX_CHARS) -> Column:
-    """Collapsed, cut to `limit` code points, then stripped: in this order."""
-    return strip(F.substring(collapse(text), 1, limit))
+    """Collapsed, cut to `limit` code points, then stripped: in this order.
+
+    A long text's beginning is enough where it has `limit` code points once collapsed; else the whole text is collapsed.
+    """
+    head = F.array(collapse(F.substring(text, 1, 2 * limit)))
+    whole = lambda h: F.when((F.length(h) >= limit) | (F.length(text) <= 2 * limit), h).otherwise(collapse(text))
+    return strip(F.substring(F.get(F.transform(head, whole), 0), 1, limit))
 
 
 def words(text: Column) -> Column:

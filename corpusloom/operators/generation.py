@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import conversations, payloads, text
@@ -88,12 +89,28 @@ def generate(prompts: DataFrame, model: Callable[[str], str], attempt: int, at_o
         except Exception as e:  # noqa: BLE001  any failure of a model is a failed attempt
             return None, f"{type(e).__name__}: {e}"
 
+    def count_up(asked: list[str]) -> Callable[[], tuple[int, str] | None]:
+        numbers = itertools.count()
+
+        def take() -> tuple[int, str] | None:
+            k = next(numbers)
+            return (k, asked[k]) if k < len(asked) else None
+
+        return take
+
+    def answer(take: Callable[[], tuple[int, str] | None], said: list) -> None:
+        while (now := take()) is not None:
+            said[now[0]] = call(now[1])
+
     def run(frames: Iterator) -> Iterator:
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(at_once) as pool:
             for frame in frames:
-                said = list(pool.map(call, frame["prompt"]))
+                said: list = [None] * len(frame)
+                # threads take one prompt after another from a common iterator, without a future for each
+                todo = count_up(frame["prompt"].tolist())
+                list(pool.map(lambda _, todo=todo, said=said: answer(todo, said), range(at_once)))
                 yield frame.assign(attempt=attempt, response=[r for r, _ in said], error=[e for _, e in said])[["page", "attempt", "response", "error"]]
 
     return prompts.select("page", "prompt").mapInPandas(run, "page string, attempt int, response string, error string")
@@ -171,8 +188,9 @@ def items_of(responses: DataFrame) -> DataFrame:
 def first_valid(items: DataFrame, valid: Column, *keys: str) -> DataFrame:
     """Of each page (keys), the valid items of the first attempt that has any."""
     good = items.withColumn("_ok", F.coalesce(valid, F.lit(False))).filter("_ok").drop("_ok")
-    first = good.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-    return good.join(first, [*keys, "attempt"], "left_semi")
+    # a window over a page's few items: a join with their first attempts would make and judge all items twice
+    first = F.min("attempt").over(Window.partitionBy(*keys))
+    return good.withColumn("_first", first).filter("attempt = _first").drop("_first")
 
 
 def prepare(pages: DataFrame, responses: DataFrame, patterns: Sequence[str] = conversations.BAD_PATTERNS, least: int = 4, most: int = 45, shared: int = 2) -> DataFrame:

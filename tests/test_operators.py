@@ -520,3 +520,42 @@ def test_stop_strings_in_an_answer_of_many_chunks(spark):
     assert [tuple(r) for r in found] == [(1, "é" * sum(k % 3 != 0 for k in range(n - 5)) + "x")]
     whole = chatting.accumulate(chatting.stream_chunks(lines, ["never"])).first().response
     assert whole.endswith("STOPy" + "".join("" if k % 3 == 0 else "é" for k in (n - 3, n - 2))) and "never" not in whole
+
+
+def plan_lines(frame, name):
+    return [x for x in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if name in x]
+
+
+def test_preparation_makes_items_once(spark, sf_dir):
+    assert len(plan_lines(QUERIES["prepare_samples"](spark, sf_dir), "ArrowEvalPython")) == 1
+
+
+def test_first_attempt_with_valid_items(spark):
+    rows = spark.createDataFrame([("a", 1, 0, False), ("a", 2, 0, True), ("a", 2, 1, True), ("a", 3, 0, True), ("b", 1, 0, None), ("c", 1, 0, True)], "page string, attempt int, item int, ok boolean")
+    assert sorted(tuple(r) for r in generation.first_valid(rows, F.col("ok"), "page").select("page", "attempt", "item").collect()) == [("a", 2, 0), ("a", 2, 1), ("c", 1, 0)]
+
+
+def test_prompts_need_no_regex_over_whole_texts(spark):
+    from corpusloom.functions import text
+
+    rows = spark.createDataFrame([("p", "x" * 300)], "page string, content string")
+    assert all("regexp" not in x for x in plan_lines(generation.primary_prompts(rows), "Filter"))
+    spaces = "".join(map(chr, (k for k in range(0xD800) if chr(k).isspace())))
+    cases = [f"{spaces}a{spaces}b​{spaces}", spaces, "", " " * 9000 + "a" + "\n " * 9000 + "b " * 4000, "a　　" * 5000, "x" * 3499 + "   y", "ab" * 6000, " " * 7000, "a" + " " * 6999 + "b"]
+    found = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c string").orderBy("k").select(text.strip(F.col("c")).alias("s"), text.simplify(F.col("c")).alias("m")).collect()
+    import re
+
+    assert [r.s for r in found] == [c.strip() for c in cases]
+    assert [r.m for r in found] == [re.sub(r"\s+", " ", c)[:3500].strip() for c in cases]
+
+
+def test_threads_ask_each_prompt_once(spark):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("page"), F.concat(F.lit(" p"), "id").alias("prompt")).coalesce(1)
+
+    def model(prompt):
+        if prompt.endswith("7"):
+            raise ValueError(prompt)
+        return prompt
+
+    found = {r.page: (r.response, r.error) for r in generation.generate(rows, model, 1, at_once=4).collect()}
+    assert found == {str(k): (None, f"ValueError:  p{k}") if k % 10 == 7 else (f"p{k}", None) for k in range(50)}
