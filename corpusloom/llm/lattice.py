@@ -32,6 +32,8 @@ from corpusloom.runtime import materialise
 
 #: Bytes of text whose words are numbered together.
 BLOCK = 16 << 20
+#: Texts that are Python objects at once.
+ROWS = 200
 #: What is added to each piece's count.
 SMOOTHING = 0.1
 #: The tokenizer's mark of a word's beginning.
@@ -70,7 +72,8 @@ def number_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
         at = TaskContext.get().partitionId() << 33
         numbers, size, train = Numbers(), 0, np.zeros(1024, np.int64)
-        for batch in batches:
+        # few rows at once as Python objects, whatever a batch holds
+        for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             held: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (t or "").encode().lower()

@@ -261,3 +261,13 @@ def test_few_sequences_for_many_pieces():
         least = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))
         assert patterns.plan(histogram, 2048).sequences <= max(1.002 * least + 1, -(-len(lengths) // 2) if lengths.min() > 682 else 0)
     assert patterns.fit(patterns.patterns(np.array([64, 192])), np.bincount([64, 192] * 50, minlength=257)).tolist() == pytest.approx([50])
+
+
+def test_texts_are_numbered_a_few_at_once(spark):
+    from corpusloom.llm import lattice
+
+    n = 2 * lattice.ROWS + 7
+    docs = spark.createDataFrame([(k, f"A w{k} a") for k in range(n)], "doc_id long, text string").coalesce(1)
+    rows = lattice.number_words(docs).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows if r.words is not None) == [(k, 4) for k in range(n)]
+    assert {r.word: r.train for r in rows if r.word is not None} == {"a": sum(2 for k in range(n) if lattice.in_training(k)), **{f"w{k}": int(lattice.in_training(k)) for k in range(n)}}
